@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, resharding, token_counts
+from . import decontamination, packing, resharding, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_resharding": resharding.op2_resharding,
         "op3_packing": packing.op3_packing,
+        "op8_decontamination": decontamination.op8_decontamination,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontamination": decontamination.OP8_SQL}
