@@ -62,7 +62,8 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str | None =
     )
     misses.write.mode("append").parquet(cache_path)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("doc"), F.octet_length(text).cast("long").alias("n_bytes"), content.alias("content"))
-    return keyed.join(_stored(spark, cache_path, version), "content", "left").select("doc", "n_bytes", "n_tokens")
+    counts, _ = common.materialize(_stored(spark, cache_path, version), "counts")  # else the join inherits its grouping and can't split a hot content
+    return keyed.join(counts, "content", "left").select("doc", "n_bytes", "n_tokens")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> DataFrame:
