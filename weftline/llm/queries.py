@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, resharding, secrets, token_counts
+from . import decontamination, packing, resharding, secrets, simhash, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_resharding": resharding.op2_resharding,
         "op3_packing": packing.op3_packing,
+        "op5_simhash": simhash.op5_simhash,
         "op7_secrets": secrets.op7_secrets,
         "op8_decontamination": decontamination.op8_decontamination,
         "op10_token_counts": token_counts.op10_token_counts,
