@@ -31,7 +31,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -44,6 +44,8 @@ SEED = 42
 SAMPLE = 4000
 #: Bucket members tested against each other at once.
 BLOCK = 2048
+#: Most row numbers that are broadcast (8 bytes each).
+MAX_BROADCAST = 500_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -78,15 +80,16 @@ def _ones(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc, fp): the row as it came, without its text, and its fingerprint as a long."""
+def fingerprints(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """(doc, fp): the row as it came, without its text unless ``keep_text``, and its
+    fingerprint as a long."""
     common.tune(docs.sparkSession)
 
     @F.arrow_udf("long")
     def hashed(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t.as_py()) for t in texts], dtype="u8").view("i8"))
 
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), hashed(common.whole_text()).alias("fp"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if keep_text or c != "text"]).alias("doc"), hashed(common.whole_text()).alias("fp"))
 
 
 # --- the plan: groups of bits and their thresholds
@@ -312,6 +315,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rest.unionByName(now.select("v.fp", F.col("v.id").alias("component"))).distinct()
 
 
+def _named(made: DataFrame, distance: int) -> DataFrame:
+    """(fp, component) for every fingerprint of ``made`` (fp, id), written out so that the
+    join with rows can split a fingerprint that many share."""
+    nodes, _ = common.materialize(made.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
+    found = components(nodes, links(nodes.select("fp"), nodes.count(), distance))
+    return common.materialize(nodes.join(found, "fp", "left").select("fp", F.coalesce("component", "id").alias("component")), "components")[0]
+
+
+def _id(column: str, *ties: str) -> Column:
+    """Ids in order, null last; a row number settles ties."""
+    return F.struct(F.col(column).isNull().alias("none"), F.col(column).alias("id"), *ties)
+
+
 def group(docs: DataFrame, id_col: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """(doc, fp, component): each row with its fingerprint and the smallest id it reaches.
 
@@ -320,13 +336,21 @@ def group(docs: DataFrame, id_col: str = "doc_id", distance: int = DISTANCE) ->
     the component is null). Repeated rows are one fingerprint and each return.
     """
     made, _ = common.materialize(fingerprints(docs), "fingerprints")
-    nodes, _ = common.materialize(made.groupBy("fp").agg(F.min(f"doc.`{id_col}`").alias("id")), "nodes")
-    # A node without an id ranks last, so it never hides one that has.
-    ranked = nodes.select("fp", F.struct(F.col("id").isNull().alias("none"), F.col("id")).alias("id"))
-    edges = links(nodes.select("fp"), nodes.count(), distance)
-    found = components(ranked, edges)
-    named = nodes.join(found, "fp", "left").select("fp", F.coalesce(F.col("component.id"), F.col("id")).alias("component"))
-    return made.join(named, "fp", "left").select("doc", "fp", "component")
+    named = _named(made.select("fp", _id(f"doc.`{id_col}`").alias("id")), distance)
+    return made.join(named, "fp", "left").select("doc", "fp", F.col("component.id").alias("component"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id (the first of
+    repeated rows). Texts are written once with their fingerprints; the rows to drop go
+    back to them as a broadcast of row numbers only if they are counted and few."""
+    made, _ = common.materialize(fingerprints(docs, keep_text=True).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    keyed = made.select("fp", "row", _id(f"doc.`{id_col}`", "row").alias("id"))
+    named = _named(keyed.select("fp", "id"), distance)
+    losers, _ = common.materialize(keyed.join(named, "fp").where(F.col("id") != F.col("component")).select("row"), "losers")
+    few = losers.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    kept = made.join(F.broadcast(losers) if few else losers, "row", "left_anti")
+    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
