@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, resharding, secrets, simhash, token_counts
+from . import decontamination, packing, resharding, secrets, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_resharding": resharding.op2_resharding,
         "op3_packing": packing.op3_packing,
         "op5_simhash": simhash.op5_simhash,
