@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -89,35 +88,33 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
 
 
-def select_terms(rows: list[list[int]], labels: np.ndarray, size: int = TERMS) -> dict[int, int]:
+def select_terms(rows: list[np.ndarray], labels: np.ndarray, size: int = TERMS) -> dict[int, int]:
     """Terms whose share among the rows of label 1 differs most from that among the rest,
     by the z-score of two proportions; ties go to the smaller term."""
-    sides = [Counter(), Counter()]
-    for terms, y in zip(rows, labels, strict=True):
-        sides[int(y)].update(terms)
+    if not rows:
+        return {}
+    terms, place = np.unique(np.concatenate(rows), return_inverse=True)
+    toxic = np.repeat(labels == 1, [len(r) for r in rows])
+    both, a = np.bincount(place, minlength=len(terms)), np.bincount(place[toxic], minlength=len(terms))
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    found = []
-    for t in sides[1].keys() | sides[0].keys():
-        a, b = sides[1][t], sides[0][t]
-        if a + b < LEAST_DOCS:
-            continue
-        p = (a + b) / (n1 + n0)
-        z = abs(a / n1 - b / n0) / max(1e-12, (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5)
-        if z >= LEAST_Z:
-            found.append((-z, t))
-    return {t: k for k, (_, t) in enumerate(sorted(found)[:size])}
-
-
-def fit(rows: list[list[int]], labels: list[int], prior: float, seed: int = 0) -> Machine:
+    p = both / (n1 + n0)
+    z = np.abs(a / n1 - (both - a) / n0) / np.maximum(1e-12, np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)))
+    found = np.flatnonzero((both >= LEAST_DOCS) & (z >= LEAST_Z))
+    return {int(terms[k]): i for i, k in enumerate(found[np.argsort(-z[found], kind="stable")][:size])}
+
+
+def fit(rows: list[np.ndarray], labels: list[int], prior: float, seed: int = 0) -> Machine:
     """Fit by AdaGrad on the logistic loss. ``prior``: the share of label 1 among all
     labelled rows; rows weigh as if the sample had it. Without rows of both labels the
     machine answers the prior."""
     y = np.array(labels, "int64")
-    index = select_terms(rows, y) if len(y) else {}
+    index = select_terms(rows, y)
     rng = np.random.default_rng(seed)
     n = len(index)
     bias, linear, factors = np.log(prior / (1 - prior)), np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
-    seen = [np.array(sorted({index[t] for t in terms if t in index}), "int64") for terms in rows]
+    chosen = np.array(sorted(index), "int64")
+    row_of = np.array([index[t] for t in chosen.tolist()], "int64")
+    seen = [row_of[np.searchsorted(chosen, terms[np.isin(terms, chosen)])] for terms in rows]
     if not n or not 0 < y.sum() < len(y):
         return Machine({}, float(bias), np.zeros(0), np.zeros((0, FACTORS)))
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
@@ -166,10 +163,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
 
     # At most 2 x sample ids are broadcast; a repeated id trains once.
     texts = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "labelled")), F.col("doc_id") == F.col("labelled")).dropDuplicates(["labelled"])
-    rows = texts.select("labelled", "toxic", hashed(common.whole_text()).alias("terms")).collect()
-    rows.sort(key=lambda r: r["labelled"])
+    rows = texts.select("labelled", "toxic", hashed(common.whole_text()).alias("terms")).toArrow().sort_by("labelled").combine_chunks()
+    terms = rows.column("terms").combine_chunks() if len(rows) else pa.array([], pa.list_(pa.int32()))
     share = labels.where(common.fold() != 1).agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
-    return fit([r["terms"] for r in rows], [r["toxic"] for r in rows], min(0.99, max(0.001, share or 0.0)), seed)
+    return fit([t.values.to_numpy() for t in terms], rows.column("toxic").to_pylist(), min(0.99, max(0.001, share or 0.0)), seed)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
