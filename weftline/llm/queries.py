@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, resharding, secrets, simhash, token_counts, toxicity
+from . import decontamination, html_text, packing, resharding, secrets, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_resharding": resharding.op2_resharding,
         "op3_packing": packing.op3_packing,
+        "op4_html_text": html_text.op4_html_text,
         "op5_simhash": simhash.op5_simhash,
         "op7_secrets": secrets.op7_secrets,
         "op8_decontamination": decontamination.op8_decontamination,
