@@ -5,6 +5,12 @@ from __future__ import annotations
 from . import decontamination, html_text, packing, resharding, secrets, simhash, token_counts, toxicity
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline  # at the repository top, beside the entry module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +20,7 @@ def queries() -> dict:
         "op5_simhash": simhash.op5_simhash,
         "op7_secrets": secrets.op7_secrets,
         "op8_decontamination": decontamination.op8_decontamination,
+        "pipeline": pipeline,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
