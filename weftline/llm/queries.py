@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, packing, resharding, secrets, simhash, token_counts, toxicity
+from . import decontamination, html_text, neighbours, packing, resharding, secrets, simhash, token_counts, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op5_simhash": simhash.op5_simhash,
         "op7_secrets": secrets.op7_secrets,
         "op8_decontamination": decontamination.op8_decontamination,
+        "op9_neighbours": neighbours.op9_neighbours,
         "pipeline": pipeline,
         "op10_token_counts": token_counts.op10_token_counts,
     }
