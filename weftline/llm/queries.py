@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, neighbours, packing, resharding, secrets, simhash, token_counts, toxicity
+from . import decontamination, html_text, lm_scores, neighbours, packing, resharding, secrets, simhash, token_counts, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op3_packing": packing.op3_packing,
         "op4_html_text": html_text.op4_html_text,
         "op5_simhash": simhash.op5_simhash,
+        "op6_lm_scores": lm_scores.op6_lm_scores,
         "op7_secrets": secrets.op7_secrets,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_neighbours": neighbours.op9_neighbours,

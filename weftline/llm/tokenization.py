@@ -69,6 +69,13 @@ class ByteBpe:
             return None
         return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def spellings(self) -> list[bytes]:
+        """The bytes of each id, in order of ids; special strings stand for themselves."""
+        byte, out = _byte_alphabet(), {}
+        for token, i in self.slow.get_vocab(with_added_tokens=True).items():
+            out[i] = token.encode() if token in self.special else bytes(byte[c] for c in token)
+        return [out.get(i, b"") for i in range(max(out) + 1)]
+
     def encode(self, text: str) -> list[int]:
         if self.fast is None or UNUSUAL.search(text) or any(s in text for s in self.special):
             return self.slow.encode(text, add_special_tokens=False).ids
