@@ -1,0 +1,3 @@
+"""Streams take part in plans as scan inputs: ``compile_plan`` works on streaming
+DataFrames as it does on batches, since it uses nothing but select, where and inner join.
+"""
