@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .common import let
 
 #: Patterns of the base spans; fixed by the contract. Kinds in the order in which they are listed.
 ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -53,26 +54,43 @@ SPANS = "array<struct<start:int,kind:int,end:int>>"
 CHUNK = 512
 
 
+def _sums(xs: Column) -> Column:
+    """Sums of the elements before each place, and of all."""
+    return F.aggregate(xs, F.array(F.lit(0)), lambda made, x: F.concat(made, F.array(F.get(made, F.size(made) - 1) + x)))
+
+
 def _running(lengths: Column) -> Column:
     """Sums of all lengths before each place, by chunks: work grows as n times CHUNK."""
-    zero = F.array(F.lit(0))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int")), lambda c: _sums(F.slice(lengths, c * CHUNK + 1, F.lit(CHUNK))))
 
-    def sums(xs: Column) -> Column:
-        return F.aggregate(xs, zero, lambda made, x: F.concat(made, F.array(F.get(made, F.size(made) - 1) + x)))
+    def joined(chunks: Column) -> Column:
+        starts = _sums(F.transform(chunks, lambda c: F.get(c, F.size(c) - 1)))
+        return let(starts, lambda s: F.flatten(F.transform(chunks, lambda c, k: let(F.get(s, k), lambda before: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x: x + before)))))
 
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int")), lambda c: sums(F.slice(lengths, c * CHUNK + 1, F.lit(CHUNK))))
-    totals = F.transform(chunks, lambda c: F.get(c, F.size(c) - 1))
-    return F.flatten(F.transform(chunks, lambda c, k: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x: x + F.aggregate(F.slice(totals, F.lit(1), k), F.lit(0), lambda a, b: a + b))))
+    return let(cut, joined)
 
 
 def _spans(text: Column, pattern: str, kind: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern)
-    before = _running(F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m)))
-    at = F.transform(before, lambda b, i: F.struct((b + F.length(F.get(gaps, i))).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (b + F.length(F.get(gaps, i)) + F.length(F.get(found, i))).alias("end")))
+    """(start, kind, end) of each leftmost match, in code points: a match starts after the
+    gaps and matches before it."""
+    place = F.lit(KINDS.index(kind))
+
+    def placed(gaps: Column, found: Column) -> Column:
+        both = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("match")))
+
+        def ends(sizes: Column) -> Column:
+            before = _running_of(sizes)
+            return F.zip_with(before, sizes, lambda b, s: F.struct((b + s["gap"]).alias("start"), place.alias("kind"), (b + s["gap"] + s["match"]).alias("end")))
+
+        return let(both, ends)
+
+    def _running_of(sizes: Column) -> Column:
+        return let(F.transform(sizes, lambda s: s["gap"] + s["match"]), _running)
+
+    at = let(F.split(text, pattern), lambda gaps: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: placed(gaps, found)))
     if kind == "assign":
         value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        at = F.filter(at, lambda s, i: F.length(F.get(value, i)) >= 6)
+        at = F.transform(F.filter(F.zip_with(at, value, lambda s, v: F.struct(s.alias("s"), (F.length(v) >= 6).alias("ok"))), lambda x: x["ok"]), lambda x: x["s"])
     return F.when(text.rlike(pattern), at).otherwise(F.array().cast(SPANS))
 
 
@@ -87,9 +105,22 @@ def _sum(xs: Column) -> Column:
 def _judged(token: Column) -> Column:
     """(passed, evidence, weight) of a candidate: whether the battery lets it pass as
     random, and -log10 of its p-value against running text before weighting."""
-    core = F.regexp_replace(token, "=+$", "")
+    return let(F.regexp_replace(token, "=+$", ""), lambda core: let(F.filter(F.split(core, ""), lambda c: c != ""), lambda chars: _tests(core, chars)))
+
+
+def _serial(place: Column, n: Column) -> Column:
+    """Lag-one correlation of places in the alphabet, in standard deviations."""
+
+    def centred(own: Column) -> Column:
+        spread = _sum(F.transform(own, lambda x: x * x))
+        follow = _sum(F.zip_with(F.slice(own, F.lit(1), F.size(own) - 1), F.slice(own, F.lit(2), F.size(own) - 1), lambda x, y: x * y))
+        return let(spread, lambda s: F.when(s > 0, follow / s * F.sqrt(n)).otherwise(F.sqrt(n)))
+
+    return let(_sum(place) / n, lambda mean: let(F.transform(place, lambda x: x - mean), centred))
+
+
+def _tests(core: Column, chars: Column) -> Column:
     n = F.length(core).cast("double")
-    chars = F.filter(F.split(core, ""), lambda c: c != "")
     hexes, base32, alnum = (core.rlike(x) for x in ("^([0-9a-f]+|[0-9A-F]+)$", "^[A-Z2-7]+$", "^([a-z0-9]+|[A-Z0-9]+)$"))
 
     def by_encoding(*values: float) -> Column:
@@ -99,23 +130,23 @@ def _judged(token: Column) -> Column:
     # Chance that neighbours differ in class, from the digits and letters of each alphabet.
     change = by_encoding(2 * 10 * 6 / 16**2, 2 * 26 * 6 / 32**2, 2 * 26 * 10 / 36**2, 1 - (2 * 26**2 + 10**2) / 62**2)
     squares = _sum(F.transform(F.array_distinct(chars), lambda c: F.pow(n - F.length(F.replace(core, c, F.lit(""))), F.lit(2.0))))
-    chi = (size / n * squares - n - (size - 1)) / F.sqrt(2 * (size - 1))
     letters = F.regexp_replace(core, "[-+/_]", "")
-    pairs = F.greatest(F.length(letters).cast("double") - 1, F.lit(1.0))
     changes = F.size(F.regexp_extract_all(letters, F.lit("[a-z]+|[A-Z]+|[0-9]+"), F.lit(0))) - 1.0
-    runs = (changes - pairs * change) / F.sqrt(1.25 * pairs * change * (1 - change))
     place = F.transform(chars, lambda c: F.instr(F.lit("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_"), c).cast("double"))
-    mean = _sum(place) / n
-    spread = _sum(F.transform(place, lambda x: (x - mean) * (x - mean)))
-    follow = _sum(F.transform(F.slice(place, F.lit(1), F.size(place) - 1), lambda x, i: (x - mean) * (F.get(place, i + 1) - mean)))
-    serial = F.when(spread > 0, follow / spread * F.sqrt(n)).otherwise(F.sqrt(n))
+    seen = F.struct(n.alias("n"), size.alias("size"), change.alias("change"), squares.alias("squares"), F.greatest(F.length(letters) - 1.0, F.lit(1.0)).alias("pairs"), changes.alias("changes"), let(place, lambda p: _serial(p, n)).alias("serial"))
+    return let(seen, _verdict)
+
+
+def _verdict(s: Column) -> Column:
+    n, size, change, squares, pairs, changes = (s[c] for c in ("n", "size", "change", "squares", "pairs", "changes"))
+    chi = (size / n * squares - n - (size - 1)) / F.sqrt(2 * (size - 1))
+    runs = (changes - pairs * change) / F.sqrt(1.25 * pairs * change * (1 - change))
     repeats = (squares - n) / (n * (n - 1))
     rare = (TEXT_SQUARES - repeats) / F.sqrt(4 / n * (TEXT_CUBES - TEXT_SQUARES**2) + 2 / (n * n) * TEXT_SQUARES)
     lively = (changes / pairs - TEXT_CHANGES) / F.sqrt(TEXT_CHANGES * (1 - TEXT_CHANGES) / pairs)
-    z = (rare + lively) / math.sqrt(2)
-    evidence = F.when(z > 0.5, (z * z / 2 + F.log(z * math.sqrt(2 * math.pi))) / math.log(10)).otherwise(0.0)  # the tail bound of Mills
-    passed = (F.abs(chi) < PASS_Z) & (F.abs(runs) < PASS_Z) & (F.abs(serial) < PASS_Z)
-    return F.struct(passed.alias("passed"), F.greatest(evidence, F.lit(0.0)).alias("evidence"), F.least(n / WEIGHT_LENGTH, F.lit(float(MAX_WEIGHT))).alias("weight"))
+    tail = let((rare + lively) / math.sqrt(2), lambda z: F.when(z > 0.5, (z * z / 2 + F.log(z * math.sqrt(2 * math.pi))) / math.log(10)).otherwise(0.0))  # the bound of Mills
+    passed = (F.abs(chi) < PASS_Z) & (F.abs(runs) < PASS_Z) & (F.abs(s["serial"]) < PASS_Z)
+    return F.struct(passed.alias("passed"), F.greatest(tail, F.lit(0.0)).alias("evidence"), F.least(n / WEIGHT_LENGTH, F.lit(float(MAX_WEIGHT))).alias("weight"))
 
 
 def _step_up(tested: DataFrame) -> float:
