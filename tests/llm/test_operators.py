@@ -1,0 +1,580 @@
+"""Small fixtures for every corpus operator: nulls, empty and long texts, ties, repeated rows,
+empty tables and extra columns, against brute force in Python."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from weftline.llm import common, decontamination, html_text, lm_scores, neighbours, packing, resharding, secrets, simhash, token_counts, tokenization, toxicity
+
+DOCS = "doc_id long, text string, score string, `odd name` int, row long"
+
+
+def table(spark, texts, ids=None):
+    """Documents with extra columns whose names clash with those of operators."""
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, "s", 1, -1) for i, t in zip(ids, texts, strict=True)], DOCS)
+
+
+ODD = [None, "", " ", "one", "a b <|endoftext|> c", "x" * 5000, "É" * 50 + "\r\n\tü", "word " * 3000, "one", "\U0001f600 emoji", "日本語 テキスト"]
+
+
+@pytest.fixture(scope="module")
+def prose():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    return [" ".join(rng.choice(words) for _ in range(rng.randint(1, 400))) for _ in range(120)]
+
+
+# --- tokens
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    return tokenization.byte_bpe(tokenization.default_path())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(codec="utf-8"), max_size=60) | st.text("ab 'sté \n’_1<|endoftext|>", max_size=40))
+def test_encoder_is_the_library(text):
+    bpe = tokenization.byte_bpe(tokenization.default_path())
+    assert bpe.encode(text) == bpe.slow.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_on_every_usual_character(bpe):
+    usual = [chr(c) for c in range(0x2100) if not 0xD800 <= c < 0xE000 and not tokenization.UNUSUAL.search(chr(c))]
+    for c in usual:
+        for text in (c, f"a{c}b", f" {c}{c} 1{c}", f"\n{c} '{c}s"):
+            assert bpe.fast.encode_ordinary(text) == bpe.slow.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_spellings_give_the_text_back(bpe):
+    spell = bpe.spellings()
+    for text in ODD[3:]:
+        assert b"".join(spell[i] for i in bpe.encode(text)) == text.encode()
+
+
+def test_token_counts_and_their_cache(spark, bpe, tmp_path):
+    cache = str(tmp_path / "cache")
+    want = [(i, len((t or "").encode()), len(bpe.slow.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(ODD)]
+    for _ in range(2):  # cold, then warm
+        got = token_counts.count_tokens(table(spark, ODD), cache)
+        assert sorted((r["doc"]["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got.collect()) == want
+        assert spark.read.parquet(cache).count() == len({t or "" for t in ODD})  # each content once
+    poisoned = spark.read.parquet(cache).withColumn("version", common.F.lit("other")).withColumn("n_tokens", common.F.lit(-1).cast("long"))
+    poisoned.write.parquet(str(tmp_path / "other"))
+    got = token_counts.count_tokens(table(spark, ODD), str(tmp_path / "other"))  # another tokenizer's counts aren't used
+    assert sorted((r["doc"]["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got.collect()) == want
+    assert token_counts.count_tokens(table(spark, []), str(tmp_path / "empty")).count() == 0
+
+
+# --- packing
+
+
+@pytest.mark.parametrize("lengths", [[], [5], [2047] * 3, [1024] * 5, list(range(1, 200)), [2000, 48, 1000, 1048, 30, 18, 1]])
+def test_best_fit_decreasing(lengths):
+    window, offset = packing.best_fit_decreasing(np.array(lengths, "i8"), 2048)
+    # Brute force: the tightest window that holds the piece, the latest of equals.
+    open_, want = [], {}
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        fit = [x for x in open_ if x[0] >= lengths[k]]
+        if not fit:
+            fit = [[2048, len(open_)]]
+            open_.append(fit[0])
+        best = min(x[0] for x in fit)
+        want[k] = (best, 2048 - best)
+        next(x for x in fit if x[0] == best)[0] -= lengths[k]
+    assert len(set(window.tolist())) == len(open_)
+    assert [int(o) for o in offset] == [want[k][1] for k in range(len(lengths))]
+
+
+def test_packing_round_trip(spark, bpe, prose):
+    texts = [*prose[:40], *ODD, None]
+    ids = [*range(len(texts) - 1), None]
+    rows = packing.pack(table(spark, texts, ids), bin_pieces=20).collect()
+    for i, t in zip(ids, texts, strict=True):
+        tokens = [*bpe.slow.encode(t or "", add_special_tokens=False).ids, 1]
+        own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
+        assert [r["start"] for r in own] == list(range(0, len(tokens), 2048))
+        for r in own:
+            part = np.array(tokens[r["start"] : r["start"] + r["length"]], "<u4")
+            assert len(part) == r["length"] and zlib.crc32(part.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(tokens)
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["sequence_tokens"]))
+    for parts in by.values():
+        at = 0
+        for offset, length, total in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == total <= 2048
+    assert packing.pack(table(spark, [])).count() == 0
+
+
+# --- resharding
+
+
+def test_min_cost_flow_moves_the_fewest_bytes():
+    rng = random.Random(1)
+    for _ in range(30):
+        n, m = rng.randint(1, 4), rng.randint(1, 5)
+        supply = [rng.randint(0, 60) for _ in range(n)]
+        capacity = resharding.near_equal(sum(supply), m)
+        flow = resharding.min_cost_flow(supply, capacity, [[int(i != j) for j in range(m)] for i in range(n)])
+        assert [sum(r) for r in flow] == supply
+        assert all(sum(r[j] for r in flow) <= capacity[j] for j in range(m))
+        moved = sum(f for i, r in enumerate(flow) for j, f in enumerate(r) if i != j)
+        assert moved == sum(supply) - sum(min(s, capacity[i] if i < m else 0) for i, s in enumerate(supply))
+    with pytest.raises(ValueError):
+        resharding.min_cost_flow([5], [4], [[0]])
+
+
+def test_resharding(spark, prose):
+    texts = [*prose, *prose[:30], *["same"] * 20, *ODD]
+    placed, plan = resharding.reshard(table(spark, texts), 4)
+    rows = placed.collect()
+    assert sorted(r["doc"]["doc_id"] for r in rows) == list(range(len(texts)))
+    size = {i: len((t or "").encode()) + 1 for i, t in enumerate(texts)}
+    load, slots, shard = Counter(), {}, {}
+    for r in rows:
+        i = r["doc"]["doc_id"]
+        assert r["size"] == size[i] and r["text_crc32"] == zlib.crc32((texts[i] or "").encode())
+        load[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        shard.setdefault(texts[i] or "", set()).add(r["shard"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(load.values()) - min(load[k] for k in range(4)) <= max(size.values())
+    assert sum(len(s) > 1 for s in shard.values()) <= 2  # equal texts stay together, but for blocks too large to
+    assert plan.agg({"rows": "sum"}).first()[0] == len(texts)
+    assert resharding.reshard(table(spark, []), 4)[0].count() == 0
+
+
+def test_rewrite_touches_only_shards_that_change(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, 0), (2, 1, 2), (3, 2, 2), (4, 3, 3)], "v int, old int, new int")
+    assert resharding.rewrite(df, common.F.col("new"), common.F.col("old"), str(tmp_path / "out")) == [1, 2]
+    assert sorted(r["v"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2, 3]
+
+
+# --- pages
+
+
+PAGES = [
+    ("", ""),
+    (None, ""),
+    ("plain &amp; simple", "plain & simple"),
+    ("<p>a<p>b<br>c<script>no</script><style>p{}</style><!-- no -->", "a\nb c"),
+    ("<body><nav><a href=x>Home</a></nav><article><h1>T&eacute;</h1><p>x \n\t y</p></article><footer>c</footer>", "Té\nx y"),
+    ('<div class="ad">buy</div><article><p>text of the article here</p><div id="comments"><p>first</p></div></article><aside>more</aside>', "text of the article here"),
+    ("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b</table></article>", "one\ntwo\na\nb"),
+    ('<div class="no-sidebar"><p style="overflow:hidden">kept <a href=y>link</a> text, long enough to count</p></div><form><input value=x>send</form>', "kept link text, long enough to count"),
+    ("</p></div><p>unbalanced</i> text", "unbalanced text"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), PAGES)
+def test_main_text(page, text):
+    assert html_text.main_text(page or "") == text
+
+
+def test_html_extraction(spark):
+    df = spark.createDataFrame([(i, "u", p, "x") for i, (p, _) in enumerate(PAGES)] + [(0, "u", "", "x")], "page_id long, url string, html string, text string")
+    got = sorted((r["page"]["page_id"], r["text"]) for r in html_text.extract(df).collect())
+    assert got == sorted([(i, t) for i, (_, t) in enumerate(PAGES)] + [(0, "")])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("<>/pabd iv\"'=&;!-", max_size=80))
+def test_any_page_is_read(page):
+    html_text.main_text(page)
+
+
+def test_deep_pages_are_read():
+    assert html_text.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+
+
+# --- near duplicates
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps, distance=4):
+    up = list(range(len(fps)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= distance:
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    return [top(k) for k in range(len(fps))]
+
+
+def near_copies(prose):
+    rng = random.Random(2)
+    out = [*prose[:40], *prose[:10], *ODD]
+    for t in prose[20:40]:
+        for _ in range(4):
+            words = t.split()
+            words[rng.randrange(len(words))] = "zz"
+            out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("text", [*ODD, "a b", "a b c d", "a B c d E", "w " * 1000])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text or "") == brute_fingerprint(text)
+
+
+def test_groups_are_whole(spark, prose):
+    texts = near_copies(prose)
+    got = {r["doc"]["doc_id"]: r for r in simhash.group(table(spark, texts)).collect()}
+    fps = [brute_fingerprint(t) for t in texts]
+    assert [got[i]["fp"] % (1 << 64) for i in range(len(texts))] == fps
+    assert [got[i]["component"] for i in range(len(texts))] == brute_components(fps)
+
+
+def test_links_lose_none_on_random_fingerprints(spark):
+    rng = random.Random(3)
+    fps = [rng.getrandbits(64) for _ in range(150)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), k)) for f in fps[:100] for k in (1, 2, 3, 4, 5)]
+    centre = rng.getrandbits(64)
+    fps += [centre ^ (1 << a) ^ (1 << b) for a in range(30) for b in range(a)]  # a dense group
+    fps = sorted(set(fps))
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    found = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.links(df, len(fps)).collect()]
+    assert all((a ^ b).bit_count() <= 4 for a, b in found)
+    at, up = {f: k for k, f in enumerate(fps)}, list(range(len(fps)))
+    for a, b in found:
+        x, y = sorted((at[a], at[b]))
+        while up[x] != x:
+            x = up[x]
+        while up[y] != y:
+            y = up[y]
+        up[max(x, y)] = min(x, y)
+
+    def top(x):
+        return x if up[x] == x else top(up[x])
+
+    assert [top(k) for k in range(len(fps))] == brute_components(fps)
+
+
+@pytest.mark.parametrize("rows", [100, 10**6, 10**10])
+def test_thresholds_cover_the_distance(rows):
+    sample = np.random.default_rng(0).integers(0, 1 << 63, 500, dtype="u8")
+    parts = simhash.plan(sample, rows)
+    assert sum(t + 1 for _, t in parts) == 5
+    assert len({b for bits, _ in parts for b in bits}) == sum(len(bits) for bits, _ in parts)
+
+
+def test_deduplicate(spark, prose):
+    texts = near_copies(prose)
+    ids = [*range(len(texts))]
+    ids[5], ids[7] = None, 6
+    docs = table(spark, texts, ids)
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == len(set(brute_components([brute_fingerprint(t) for t in texts])))
+    assert simhash.deduplicate(table(spark, [])).count() == 0
+    assert simhash.deduplicate(table(spark, ["same"] * 4, [3, 3, None, 9])).collect()[0]["doc_id"] == 3
+
+
+# --- toxicity
+
+
+def toxic_corpus(n=600):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    texts, labels = [], []
+    for _ in range(n):
+        own, y = rng.choices(words, k=rng.randint(5, 80)), rng.random() < 0.2
+        if y:
+            own.insert(rng.randrange(len(own)), rng.choice(["idiot", "scum", "grrumble"]))
+        texts.append(" ".join(own))
+        labels.append(int(y))
+    return texts, labels
+
+
+def test_toxicity_on_held_out_rows(spark):
+    texts, labels = toxic_corpus()
+    docs = table(spark, [*texts, None, "", "x" * 10_000], [*range(len(texts)), None, 10_000, 10_001])
+    known = spark.createDataFrame([*enumerate(labels), (0, labels[0]), (None, 1), (3, None)], "doc_id long, toxic int")
+    got = {r["doc"]["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.train(docs, known)).collect()}
+    assert len(got) == len(texts) + 3 and all(0 <= s <= 1 for s in got.values())
+    held = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 == 1]
+    wrong = [i for i in held if (got[i] >= 0.7) != bool(labels[i])]
+    assert len(wrong) <= 0.03 * len(held)
+    assert got[10_000] < 0.7 and got[None] == got[10_000]
+
+
+def test_machine_learns_a_pair():
+    """Neither word alone is toxic; both together are."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for _ in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        terms = {rng.randrange(50) for _ in range(5)} | ({101} if a else set()) | ({102} if b else set())
+        rows.append(np.array(sorted(terms)))
+        labels.append(int(a and b))
+    m = toxicity.fit(rows, labels, 0.25)
+
+    def raw(*terms):
+        x = [m.index[t] for t in terms]
+        v = m.factors[x]
+        return m.bias + m.linear[x].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v**2).sum())
+
+    assert raw(101, 102) > 0 > max(raw(101), raw(102))
+
+
+def test_toxicity_without_labels(spark):
+    docs = table(spark, ["a", "b"])
+    machine = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert all(r["score"] < 0.7 for r in toxicity.score(docs, machine).collect())
+    assert toxicity.reject(docs, spark.createDataFrame([], "doc_id long, toxic int")).columns == docs.columns
+
+
+# --- language model
+
+
+def test_scores_are_probabilities_and_base_is_exact(spark, prose, monkeypatch):
+    monkeypatch.setattr(lm_scores, "STEPS", 60)
+    monkeypatch.setattr(lm_scores, "FREQUENT", 40)  # most words take the join
+    texts = [*prose, *ODD]
+    got = {r["doc"]["doc_id"]: r for r in lm_scores.score(table(spark, texts), common.fold(parts=5) != 1).collect()}
+    words = [(t or "").encode().lower().split() for t in texts]
+    learn = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 != 1]
+    count = Counter(w for i in learn for w in words[i])
+    total, distinct = sum(count.values()) + len(learn), len(count) + 1
+    log = np.log10(total + 0.5 * (distinct + 1))
+    for i, own in enumerate(words):
+        base = sum(np.log10(count[w] + 0.5) - log for w in own) + np.log10(len(learn) + 0.5) - log
+        assert got[i]["base_score"] == pytest.approx(base, rel=1e-9)
+        assert got[i]["n_tokens"] == len(own) + 1 and got[i]["train_tokens"] == total
+        assert got[i]["n_known"] == sum(w in count for w in own) + 1
+        assert got[i]["score"] < 0
+
+
+def tiny_model(seed=0):
+    rng = np.random.default_rng(seed)
+    docs = [rng.integers(0, 300, rng.integers(1, 120)).astype("u2") for _ in range(40)]
+    docs = [np.r_[d, np.array([lm_scores.END], "u2")] for d in docs]
+    compact, cls = lm_scores.classes(docs)
+    counts = lm_scores.Counts.empty()
+    for d in docs:
+        counts.add(d, compact, cls)
+    return lm_scores.fit(lm_scores.counted_model(compact, cls, counts), docs, steps=20), docs
+
+
+def test_batched_windows_equal_one_position_at_a_time():
+    m, docs = tiny_model()
+    got = m.scores(docs[:6])
+    bias = m.bias()
+    for d, g in zip(docs[:6], got, strict=True):
+        rows, total = np.r_[m.compact[lm_scores.END], m.compact[d[:-1]]], 0.0
+        for i, x in enumerate(d):
+            p = i % lm_scores.STRIDE
+            first = i - p - (lm_scores.CONTEXT - lm_scores.STRIDE)
+            context = [rows[j] if j >= 0 else m.compact[lm_scores.END] for j in range(first, i + 1)]
+            w = np.exp(m.key[context] @ m.query[rows[i]] + bias[p, : len(context)])
+            z = (w / w.sum()) @ m.value[context] @ m.out + m.after[rows[i]]
+            total += z[m.cls[x]] - np.log(np.exp(z).sum()) + m.log_within(np.array([d[i - 1] if i else lm_scores.END]), np.array([x]))[0]
+        assert g == pytest.approx(total / np.log(10), rel=1e-4)
+
+
+def test_probabilities_sum_to_one():
+    m, docs = tiny_model(1)
+    every = np.arange(lm_scores.IDS)
+    for before in (docs[0][0], docs[1][0], lm_scores.END, 40_000):
+        within = np.exp(m.log_within(np.full(lm_scores.IDS, before), every).astype("f8"))
+        sums = np.bincount(m.cls, weights=within, minlength=lm_scores.CLASSES)
+        assert np.allclose(sums[np.bincount(m.cls, minlength=lm_scores.CLASSES) > 0], 1, atol=1e-3)
+
+
+# --- secrets
+
+
+def brute_base(text):
+    word = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token"))
+    assign = re.compile(rf"({word}|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def random_token(rng, alphabet="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", n=40):
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+def secret_texts():
+    rng = random.Random(8)
+    texts = [*ODD, "token:token:abcdefgh", "password = 'hunter22' Secret=\"abc\" x", "é AKIA" + "A" * 16 + " AKIASHORT", "API_KEY: q1w2e3r4 apikey=1234567"]
+    texts += [f"ü {random_token(rng, '0123456789abcdef', 40)} and {random_token(rng, '0123456789abcdef', 23)}" for _ in range(5)]
+    texts += [f"some words then {random_token(rng)} more words" for _ in range(20)]
+    texts += ["a_long_name_of_a_function_in_some_code and /usr/local/lib/python/site-packages/name", "donaudampfschifffahrtsgesellschaftskapitaen", "=" * 40, "A" * 60]
+    texts += [" ".join(f"token: {random_token(rng, 'abcdef0123456789', 30)}" for _ in range(1200))]  # many spans in one text
+    return texts
+
+
+def test_secret_spans(spark):
+    texts = secret_texts()
+    got = {r["doc"]["doc_id"]: r for r in secrets.scan(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        base = [tuple(s) for s in got[i]["base"]]
+        assert base == brute_base(t or ""), t
+        spans = [tuple(s) for s in got[i]["spans"]]
+        assert set(base) <= set(spans) and spans == sorted(spans)
+        added = [s for s in spans if s not in base]
+        if (t or "").startswith("some words then"):
+            assert len(added) <= 1 and all(t[a:b] in t.split() for a, _, b in added)
+        else:
+            assert not added, t
+    found = sum(len(got[i]["spans"]) for i, t in enumerate(texts) if (t or "").startswith("some words then"))
+    assert found >= 16  # of 20 random tokens
+
+
+def test_redaction(spark):
+    texts = secret_texts()
+    docs = table(spark, texts).withColumn("n_chars", common.F.length("text").cast("long"))
+    out = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
+    assert len(out) == len(texts)
+    for i, t in enumerate(texts):
+        if not brute_base(t or "") and "some words" not in (t or ""):
+            assert out[i]["text"] == t
+        elif brute_base(t or ""):
+            assert "[SECRET]" in out[i]["text"] and not brute_base(out[i]["text"].replace("[SECRET]", "\n"))
+        assert out[i]["n_chars"] == (None if out[i]["text"] is None else len(out[i]["text"]))
+    assert secrets.redact(table(spark, [])).count() == 0
+
+
+# --- decontamination
+
+
+def brute_words(text):
+    low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def brute_hits(text, items):
+    words, hit, found = brute_words(text), set(), set()
+    for item, t in items:
+        own = brute_words(t)
+        k = min(8, len(own))
+        for s in range(len(own) - k + 1) if own else ():
+            for at in range(len(words) - k + 1):
+                if words[at : at + k] == own[s : s + k]:
+                    hit |= set(range(at, at + k))
+                    found.add(item)
+    return len(words), len(hit), sorted(str(i) for i in found if i is not None)
+
+
+def contaminated(prose):
+    items = [(1, " ".join(prose[0].split()[:20])), (2, " ".join(prose[1].split()[:8])), (3, "Three, short! words"), (4, ""), (5, None), (5, "one"), (None, "nobody's item here, it is nameless and of more than eight words"), (6, " ".join(prose[0].split()[:20])), (7, "ÉCOLE normale")]
+    texts = [*ODD, *prose[:6], prose[5] + " three short words " + prose[1].upper(), "x " + " ".join(prose[0].split()[3:11]), "nobody's item here, it is nameless and of more than eight words", " ".join(prose[0].split()[:20]) * 3, "école normale ÉCOLE NORMALE"]
+    return texts, items
+
+
+def test_decontamination(spark, prose):
+    texts, items = contaminated(prose)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc"]["doc_id"]: r for r in decontamination.find(table(spark, texts), benchmark).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert (got[i]["n_words"], got[i]["n_hit"], sorted(map(str, got[i]["items"]))) == brute_hits(t, items), t
+
+
+def test_decontamination_beyond_the_set(spark, prose, monkeypatch):
+    monkeypatch.setattr(decontamination, "MAX_SET", 3)  # every window takes the shuffled join
+    test_decontamination(spark, prose)
+
+
+def test_decontaminated_texts(spark, prose):
+    texts, items = contaminated(prose)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = table(spark, texts).withColumn("n_chars", common.F.length("text").cast("long"))
+    out = {r["doc_id"]: r for r in decontamination.decontaminate(docs, benchmark).collect()}
+    for i, t in enumerate(texts):
+        _, hit, found = brute_hits(t, items)
+        assert (i in out) == (len(found) < 2)
+        if i in out and not hit:
+            assert out[i]["text"] == t
+        elif i in out:
+            assert len(brute_words(out[i]["text"])) == len(brute_words(t)) - hit
+            assert out[i]["n_chars"] == len(out[i]["text"])
+    none = decontamination.decontaminate(docs, benchmark.limit(0))
+    assert none.count() == len(texts) and none.columns == docs.columns
+    assert decontamination.find(table(spark, []), benchmark).count() == 0
+
+
+# --- neighbours
+
+
+def test_hilbert_is_a_walk():
+    for dims, bits in ((2, 4), (3, 3), (5, 2)):
+        side = 1 << bits
+        cells = np.stack(np.meshgrid(*[np.arange(side)] * dims, indexing="ij"), -1).reshape(-1, dims)
+        keys = neighbours.hilbert(cells, bits)
+        assert sorted(keys.tolist()) == list(range(side**dims))
+        steps = np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(axis=1)
+        assert (steps == 1).all()
+
+
+def brute_nearest(rows, k=5, every=50):
+    fine = [(i, np.array(v, "f8")) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    out = {}
+    for q, v in fine:
+        if q % every == 0:
+            score = [(-float(np.dot(v, w) / np.sqrt(np.dot(v, v)) / np.sqrt(np.dot(w, w))), i) for i, w in fine if i != q]
+            out[q] = [(i, -s) for s, i in sorted((round(s, 12), i) for s, i in score)[:k]]
+    return out
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(1200, 16)).astype("f4").tolist()
+    rows = [(i, v) for i, v in enumerate(vectors)]
+    rows += [(i, vectors[100]) for i in range(2000, 2300)]  # a hot vector, queries among its rows
+    rows += [(3000, None), (3050, [0.0] * 16), (3100, [float("nan")] * 16), (3150, [None] * 16), (None, vectors[3]), (3200, [1.0, 2.0]), (7, vectors[7])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, score string, rank int")
+    got = {}
+    for r in neighbours.search(df).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["id"], r["score"])
+    want = brute_nearest([r for r in rows if r[0] != 3200])
+    assert set(got) == set(want)
+    hit = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q].values()}) for q in want)
+    assert hit >= 0.9 * 5 * len(want)
+    for q in (100, 2000, 2050):
+        assert [got[q][k][0] for k in range(1, 6)] == [i for i, _ in want[q]]
+    assert all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
+
+
+def test_few_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, -2.0])], "vec_id long, embedding array<double>")
+    rows = sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 6)) for r in neighbours.search(df).collect())
+    assert rows == [(0, 1, 1, 0.707107), (0, 2, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 1, -0.707107)]
+    assert neighbours.search(df.limit(0)).count() == 0
+
+
+def test_sha_of_an_empty_list_is_that_of_nothing(spark):
+    texts, items = ["clean words only"], [(1, "something else entirely")]
+    found = decontamination.find(table(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    joined = common.F.sha2(common.F.array_join(common.F.transform("items", lambda i: i.cast("string")), ","), 256)
+    assert found.select(joined).first()[0] == hashlib.sha256(b"").hexdigest()
