@@ -408,6 +408,26 @@ def test_probabilities_sum_to_one():
         assert np.allclose(sums[np.bincount(m.cls, minlength=lm_scores.CLASSES) > 0], 1, atol=1e-3)
 
 
+def test_lm_words_are_encoded_once_and_alike():
+    path = tokenization.default_path()
+    docs = [lm_scores.words_of(t) for t in ("The cat's hat, the hat", "", "\u00a0 \u00a0x y\u00a0 \u3000 z", "naïve 東京 the <|endoftext|> 3.14", "x \u00a0 x")]
+    words = lm_scores.Words(path)
+    numbers = words.numbers(docs)
+    ids, sizes = words.ids(numbers)
+    ends = np.cumsum([len(d) + 1 for d in docs])
+    assert (numbers[ends - 1] == 0).all() and len(numbers) == ends[-1] and sizes.sum() == len(ids)
+    spell, at = lm_scores._bytes_of(path), np.r_[0, np.cumsum(sizes)]
+    flat = [w for d in docs for w in (*d, b"")]
+    for k, word in enumerate(flat):
+        got = b"".join(spell[i] for i in ids[at[k] : at[k + 1]])
+        assert got == (b" " + word if word else b"")
+    assert len(words) == len(set(flat))
+    words.add(numbers)
+    words.add(numbers[:3])
+    assert words.counts[words[b"the"]] == 4 and words.counts[0] == len(docs)
+    assert [i.tolist() for i in lm_scores.ids_of(docs, path)] == [ids[at[a] : at[b]].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 # --- secrets
 
 
