@@ -3,9 +3,10 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
-from weftline.llm import common, tokenization
+from weftline.llm import common, near_copies, simhash, tokenization
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +60,49 @@ def test_run(spark, planted):
     rows = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(rows.columns)
     assert rows.select("doc_id").distinct().count() == 150 + 1 + 1 + 1 + 1
+
+
+def test_near_copies_at_the_threshold(spark):
+    """Against brute force: pairs around 0.8, beyond four bits, chains and repeated rows."""
+    rng = random.Random(3)
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            words = list(words)
+            for _ in range(rng.randint(1, max(1, len(words) // 45))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(3000)}"
+            texts.append(" ".join(words))
+    texts += [texts[0].upper(), texts[5], "", None, "a b", "A  b"]
+    sets = [shingles(t) if t and t.split() else set() for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if sets[i] == sets[j] or either and 5 * both >= 4 * either:
+                far += (simhash.fingerprint(texts[i] or "") ^ simhash.fingerprint(texts[j] or "")).bit_count() > 4
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert far > 20  # what four bits can't reach directly
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == sorted({root(i) for i in range(len(texts))})
+
+
+def test_bucket_is_searched_whole():
+    """Members near each other but not near the first or the last of their bucket."""
+    sets = [list(range(100)), list(range(200, 300)), list(range(205, 305)), list(range(400, 500)), list(range(210, 310))]
+    found = near_copies._forest(pa.table({"fp": [1, 2, 3, 4, 5], "own": sets}))
+    assert {frozenset(p) for p in zip(*found.to_pydict().values(), strict=True)} == {frozenset({2, 3}), frozenset({2, 5})}
