@@ -183,6 +183,28 @@ def test_main_text(page, text):
     assert html_text.main_text(page or "") == text
 
 
+ARTICLE = [f"Paragraph {i} of the article, with enough words in it to be as dense as an article usually is, and a little more." for i in range(6)]
+
+
+@pytest.mark.parametrize("inner", ["Buy it today.", "<p>I agree.</p><p>So do I.</p>", "<span>All</span> <span>rights</span> <i>reserved</i>"])
+def test_plain_boilerplate_without_names_goes(inner):
+    """Only density tells: neither tag nor class names what stands beside the article."""
+    article = "<h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in ARTICLE)
+    beside = f'<div class="x7">{inner}</div>'
+    for page in (f"<body>{beside}<div>{article}</div></body>", f"<body><div><div>{article}</div>{beside}</div></body>"):
+        assert html_text.main_text(page) == "\n".join(["Title", *ARTICLE])
+
+
+def test_parts_that_reach_the_threshold_stay():
+    half = ["".join(f"<p>{p}</p>" for p in ps) for ps in (ARTICLE[:4], ARTICLE[4:])]
+    page = f'<body><div><div>{half[0]}</div><div class="x7">Buy it.</div><div>{half[1]}</div></div></body>'
+    assert html_text.main_text(page) == "\n".join(ARTICLE)
+
+
+def test_bold_words_make_no_article():
+    assert html_text.main_text(f"<article><p><b>{ARTICLE[0] * 4}</b></p><p>Short.</p><p>{ARTICLE[1]}</p></article>").split("\n")[1:] == ["Short.", ARTICLE[1]]
+
+
 def test_html_extraction(spark):
     df = spark.createDataFrame([(i, "u", p, "x") for i, (p, _) in enumerate(PAGES)] + [(0, "u", "", "x")], "page_id long, url string, html string, text string")
     got = sorted((r["page"]["page_id"], r["text"]) for r in html_text.extract(df).collect())

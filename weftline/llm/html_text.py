@@ -8,8 +8,8 @@ ends a paragraph, the end of a parent ends its children). For every node
 with C characters of text, T tags, LC and LT those within links, NC = C - LC, and LB, CB of
 the body. The log discounts link-heavy nodes ("link-adjusted characters per tag"). A node's
 score is the sum of its children's densities. The threshold is the least density on the
-path from the node of the largest score up to the body: the content is the subtree of
-maximal score whose nodes reach it.
+path from the node of the largest score up to the body: from the body down, each node that
+reaches it keeps its subtree of the largest score; blocks in none of these are left out.
 
 Elements that are never content (scripts, styles, navigation, headers, footers, asides,
 forms) leave the DOM first, and so do those whose class, id or role names a notice,
@@ -57,6 +57,7 @@ BOILERPLATE = re.compile(
 ABOUT = re.compile(r"(?:.*[-_])?(?:no|has|with|without|is|js)[-_]", re.IGNORECASE)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 LABELS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|aria-hidden\s*=\s*[\"']?(true)|=\s*(?:\"[^\"]*\"|'[^']*')|(?:^|\s)(hidden)(?=[\s=/]|$)", re.IGNORECASE)
+HEADING = re.compile("h[1-6]")
 SPACE = re.compile(r"[\s\x00]+")
 
 
@@ -174,27 +175,56 @@ def _measure(body: Node) -> list[Node]:
 
 
 def content(body: Node) -> Node:
-    """The subtree that holds the article: from the node of the largest score up the path
-    to the body, as far as densities reach the threshold. On the way, link lists outside
-    the node of the largest score (headings apart) are left out."""
+    """The body, without the blocks that the threshold leaves out: from the body down, each
+    node whose density reaches it keeps its subtree of the largest score, and its children
+    are looked at alike. Inline elements go with the text around them; headings beside what
+    is kept stay. On the path to the node of the largest score, link lists go too."""
     order = _measure(body)
-    best = max(order, key=lambda x: x.score)
-    if not best.score:
+    blocky: set[Node] = set()  # blocks, and what holds one
+    rank: dict[Node, float] = {}  # scores of what holds blocks: a bold word makes no article of its paragraph
+    most: dict[Node, Node] = {}  # the node of the largest rank in each subtree
+    for node in reversed(order):
+        own = _children(node)
+        holds = any(c in blocky for c in own)
+        if holds or node.tag in BLOCKS:
+            blocky.add(node)
+        rank[node] = node.score if holds else 0.0
+        most[node] = max([node, *(most[c] for c in own)], key=rank.__getitem__)
+    best = most[body]
+    if not rank[best]:
         return body
     path, up = [best], best
     while up is not body:
         up = up.parent
         path.append(up)
     threshold = min(x.density for x in path)
+    whole, held, todo = set(), set(), [body]
+    while todo:
+        node = todo.pop()
+        if node.density < threshold or node in whole:
+            continue
+        up = most[node]
+        whole.add(up)
+        if up is not node:
+            todo.extend(_children(node))
+        while up is not body and up.parent not in held:
+            up = up.parent
+            held.add(up)
+    for node in held - whole:
+        for c in _children(node):
+            if c in blocky and c not in held and c not in whole and not HEADING.fullmatch(c.tag):
+                c.dropped = True
     for inner, node in zip(path, path[1:], strict=False):
-        if node.density < threshold:
-            return inner
-        for c in node.children:
-            if not isinstance(c, str) and c is not inner and 2 * c.link_chars > c.chars and not re.fullmatch("h[1-6]", c.tag) and c.tag in BLOCKS:
+        for c in _children(node):
+            if c is not inner and 2 * c.link_chars > c.chars and not HEADING.fullmatch(c.tag) and c.tag in BLOCKS:
                 c.dropped = True
     return body
 
 
+def _children(node: Node) -> list[Node]:
+    return [c for c in node.children if not isinstance(c, str) and not c.dropped]
+
+
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks under a node, in page order; white space runs are one space."""
     out: list[str] = []
