@@ -394,6 +394,13 @@ def test_scores_are_probabilities_and_base_is_exact(spark, prose, monkeypatch):
         assert got[i]["score"] < 0
 
 
+def test_sample_is_of_distinct_contents(spark, monkeypatch):
+    monkeypatch.setattr(lm_scores, "SAMPLE", 20)
+    own = [f"text {i}" for i in range(10)]
+    texts = own + [None] * 30 + [""] * 30 + [t for t in own[:3] for _ in range(40)]
+    assert sorted(lm_scores._sample(table(spark, texts))) == sorted(own)
+
+
 def tiny_model(seed=0):
     rng = np.random.default_rng(seed)
     docs = [rng.integers(0, 300, rng.integers(1, 120)).astype("u2") for _ in range(40)]
