@@ -162,6 +162,17 @@ def test_rewrite_touches_only_shards_that_change(spark, tmp_path):
     assert sorted(r["v"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2, 3]
 
 
+def test_rewrite_in_place_keeps_other_shards(spark, tmp_path):
+    path = str(tmp_path / "layout")
+    old = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 3)], "v int, shard int")
+    old.write.partitionBy("shard").parquet(path)
+    at, to = common.F.col("shard"), common.F.when(common.F.col("v") == 2, 2).otherwise(common.F.col("shard"))
+    assert resharding.rewrite(spark.read.parquet(path), to, at, path) == [1, 2]
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("v", "shard").collect()) == [(1, 0), (2, 2), (3, 2), (4, 3)]
+    assert not (tmp_path / "layout" / "shard=1").exists()
+    assert resharding.rewrite(spark.read.parquet(path), at, at, path) == []
+
+
 # --- pages
 
 

@@ -50,6 +50,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    at, fs = _hadoop_path(spark, path)
+    fs.mkdirs(at)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename within one file system."""
+    at, fs = _hadoop_path(spark, path)
+    if not fs.rename(at, _hadoop_path(spark, to)[0]):
+        raise OSError(f"can't move {path} to {to}")
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that nothing reads any more."""
     for path in paths:

@@ -20,6 +20,7 @@ salt), which holds a bounded share of rows, never a whole shard.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -188,10 +189,23 @@ def reshard(docs: DataFrame, capacity: list[int] | int, old_shard: Column | None
 
 def rewrite(docs: DataFrame, new_shard: Column, old_shard: Column, path: str) -> list[int]:
     """Write the shards that gained or lost a row to ``path``/shard=N and return their
-    numbers; the other shards keep their files."""
+    numbers; the other shards keep their files. ``docs`` may be read from ``path``: touched
+    shards are written aside first, then take the place of the old ones, one by one; one that
+    lost all its rows goes."""
+    spark = docs.sparkSession
     moved = docs.select(old_shard.alias("a"), new_shard.alias("b")).where("a <> b").distinct().collect()
     touched = sorted({int(x) for r in moved for x in (r["a"], r["b"])})
-    docs.withColumn("shard", new_shard).where(F.col("shard").isin(touched)).write.mode("overwrite").partitionBy("shard").parquet(path)
+    if not touched:
+        return touched
+    aside = f"{path}/_rewrite-{uuid.uuid4().hex}"  # readers skip names with an underscore
+    docs.withColumn("shard", new_shard).where(F.col("shard").isin(touched)).write.partitionBy("shard").parquet(f"{aside}/new")
+    common.make_folder(spark, f"{aside}/old")
+    for n in touched:
+        if common.exists(spark, f"{path}/shard={n}"):
+            common.move(spark, f"{path}/shard={n}", f"{aside}/old/shard={n}")
+        if common.exists(spark, f"{aside}/new/shard={n}"):
+            common.move(spark, f"{aside}/new/shard={n}", f"{path}/shard={n}")
+    common.drop(spark, aside)
     return touched
 
 
