@@ -412,6 +412,28 @@ def test_sample_is_of_distinct_contents(spark, monkeypatch):
     assert sorted(lm_scores._sample(table(spark, texts))) == sorted(own)
 
 
+def test_rows_and_classes_come_from_all_documents(spark, monkeypatch):
+    """A word that the sample doesn't hold has a row, and the last part of a text is learnt."""
+    seen = {}
+    monkeypatch.setattr(lm_scores, "SAMPLE", 1)
+    monkeypatch.setattr(lm_scores, "fit", lambda model, docs, seed=0: seen.update(model=model, docs=docs) or model)
+    texts = [f"{w} is here" for w in ("alpha", "river", "stone", "table")] * 3
+    lm_scores.score(table(spark, texts), common.F.lit(True))
+    every = np.unique(np.concatenate(lm_scores.ids_of([lm_scores.words_of(t) for t in texts], tokenization.default_path())))
+    assert len(seen["docs"]) == 1 and len(every) > len(set(seen["docs"][0].tolist()))
+    assert (seen["model"].compact[every] < lm_scores.TOKENS).all()
+
+
+def test_short_documents_are_learnt():
+    docs = [np.array([5, 6, 7, lm_scores.END], "u2")] * 8
+    compact, cls = lm_scores.classes(docs)
+    counts = lm_scores.Counts.empty()
+    for d in docs:
+        counts.add(d, compact, cls)
+    before = lm_scores.counted_model(compact, cls, counts).out.copy()
+    assert not np.array_equal(before, lm_scores.fit(lm_scores.counted_model(compact, cls, counts), docs, steps=5).out)
+
+
 def tiny_model(seed=0):
     rng = np.random.default_rng(seed)
     docs = [rng.integers(0, 300, rng.integers(1, 120)).astype("u2") for _ in range(40)]
