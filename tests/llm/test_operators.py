@@ -533,6 +533,14 @@ def test_secret_spans(spark):
     assert found >= 16  # of 20 random tokens
 
 
+def test_short_bare_tokens_are_judged(spark):
+    """A random string of 20 characters is found without a keyword; long words are not."""
+    token = "q7ZxK2vB9mTfW4LdR8sH"
+    texts = [f"see {token} here", "an internationalization of responsibilities", "characteristically /usr/share/documentation"]
+    got = {r["doc"]["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan(table(spark, texts)).collect()}
+    assert got == {0: [(4, 24)], 1: [], 2: []}
+
+
 def test_redaction(spark):
     texts = secret_texts()
     docs = table(spark, texts).withColumn("n_chars", common.F.length("text").cast("long"))

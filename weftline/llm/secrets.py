@@ -37,7 +37,7 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 #: What the battery judges.
-CANDIDATE = "[A-Za-z0-9+/_-]{24,}={0,2}"
+CANDIDATE = "[A-Za-z0-9+/_-]{16,}={0,2}"
 
 #: A test rejects chance past this many standard deviations (two-sided 0.1 %).
 PASS_Z = 3.29
