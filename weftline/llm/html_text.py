@@ -12,9 +12,10 @@ path from the node of the largest score up to the body: from the body down, each
 reaches it keeps its subtree of the largest score; blocks in none of these are left out.
 
 Elements that are never content (scripts, styles, navigation, headers, footers, asides,
-forms) leave the DOM first, and so do those whose class, id or role names a notice,
-advert, menu or comment. One page is one row: pages are read, scored and returned in one
-narrow pass, without a shuffle.
+forms) leave the DOM first, and so do those whose class, id or role names an advert, notice,
+menu, header, footer, sidebar or reader comment. Whatever else stands beside the article, only
+densities tell. One page is one row: pages are read, scored and returned in one narrow pass,
+in time proportional to the page; a table of few row groups is dealt over the cores first.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,95 +52,165 @@ IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words of class, id or role that name something else than the article, and what a name
-#: starts with where it only says that such a part exists or is missing.
-BOILERPLATE = re.compile(
-    r"(?:[\w]+[-_])*?(?:ads?|adverts?|advertisements?|banner|breadcrumbs?|comments?|commentlist|complementary|contentinfo|cookies?|consent|disqus|footer|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|related|replies|respond|search|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:[-_][\w-]+)?|(?:site|page|global|top|main)?[-_]?header",
-    re.IGNORECASE,
-)
-ABOUT = re.compile(r"(?:.*[-_])?(?:no|has|with|without|is|js)[-_]", re.IGNORECASE)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+#: The rules above by number, first that of paragraphs; a tag on the left of RULE follows it.
+CLOSES = [({"p"}, {"td", "th", "table", "button", "html"})]
+for _rule in IMPLIED.values():
+    if _rule not in CLOSES:
+        CLOSES.append(_rule)
+RULE = {tag: CLOSES.index(rule) for tag, rule in IMPLIED.items()}
+#: Words of class, id or role that name a part which the main text leaves out (adverts, notices,
+#: menus, headers, footers, sidebars, reader comments), and what a name starts with where it
+#: only says that such a part exists or is missing.
+BOILERPLATE = {
+    *("ad", "ads", "advert", "adverts", "advertisement", "advertisements", "sponsor", "sponsored", "promo"),
+    *("banner", "notice", "cookie", "cookies", "consent", "popup"),
+    *("menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs"),
+    *("masthead", "footer", "contentinfo", "sidebar", "complementary"),
+    *("comment", "comments", "commentlist", "replies", "respond", "disqus"),
+}
+HEADERS = {"".join(x) for x in product(("", "site", "page", "global", "top", "main"), ("", "-", "_"), ("header",))}
+ABOUT = {"no", "has", "with", "without", "is", "js"}
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+PLAIN = re.compile(r"[^>\"']*")
 LABELS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|aria-hidden\s*=\s*[\"']?(true)|=\s*(?:\"[^\"]*\"|'[^']*')|(?:^|\s)(hidden)(?=[\s=/]|$)", re.IGNORECASE)
 HEADING = re.compile("h[1-6]")
-SPACE = re.compile(r"[\s\x00]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "score")
+    __slots__ = ("tag", "parent", "children", "dropped", "outer", "chars", "tags", "link_chars", "link_tags", "density", "score")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[Node | str] = []
+        # By rule: the outermost open element that it closes, inside the nearest bound.
+        self.outer: list[Node | None] = parent.outer if parent else [None] * len(CLOSES)
+        if tag in CHANGES:
+            self.outer = self.outer.copy()
+            for rule, bound in CHANGES[tag]:
+                if bound or self.outer[rule] is None:
+                    self.outer[rule] = None if bound else self
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.score = 0.0
 
 
+#: What a tag changes: numbers of rules, and whether it is a bound there.
+CHANGES = {tag: [(k, tag in bounds) for k, (tags, bounds) in enumerate(CLOSES) if tag in tags | bounds] for tag in set().union(*(tags | bounds for tags, bounds in CLOSES))}
+
+
+class Scanner:
+    """Markup of a page, in one pass forward: (text before it, closing, name, attributes), with
+    no name for comments and declarations. Quotes hide ``>`` until one of them doesn't end;
+    from there on they are plain characters, so no part of a page is searched again and again."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.quotes = page, 0, True
+
+    def __iter__(self) -> Iterator[tuple[str, bool, str | None, str]]:
+        page, n, text, seek = self.page, len(self.page), 0, 0
+        while True:
+            start = page.find("<", seek)
+            if start < 0 or start + 1 >= n:
+                break
+            closing = page.startswith("/", start + 1)
+            name = NAME.match(page, start + 1 + closing)
+            if name:
+                end = self._end(name.end())
+                if end < 0:  # no markup can end any more
+                    break
+                attributes = page[name.end() : end]
+            elif page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                end, attributes = (n if end < 0 else end + 2), ""
+            elif page[start + 1] in "!?":
+                end = page.find(">", start)
+                end, attributes = (n if end < 0 else end), ""
+            else:
+                seek = start + 1
+                continue
+            self.at = min(n, end + 1)
+            yield page[text:start], closing, name and name[0].lower(), attributes
+            text = seek = self.at
+        if text < n:
+            self.at = n
+            yield page[text:], False, None, ""
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose attributes start here; -1 if it doesn't."""
+        page, start = self.page, at
+        while self.quotes:
+            at = PLAIN.match(page, at).end()
+            if at < len(page) and page[at] == ">":
+                return at
+            at = page.find(page[at], at + 1) + 1 if at < len(page) else 0
+            self.quotes = at > 0
+        return page.find(">", start)
+
+    def raw(self, tag: str) -> str:
+        """What stands before the end tag of the element just met; the scan goes on after it."""
+        start, found = self.at, re.compile(f"</{tag}", re.IGNORECASE).search(self.page, self.at)
+        close = self.page.find(">", found.end()) if found else -1
+        self.at = len(self.page) if close < 0 else close + 1
+        return self.page[start : found.start() if found and close >= 0 else len(self.page)]
+
+
 def parse(page: str) -> Node:
     """The DOM of a page, however broken: end tags without a start are ignored, elements
-    left open end with their parent. Comments and declarations leave no node."""
+    left open end with their parent. Comments and declarations leave no node. Work is in
+    proportion to the page: what a tag closes is known without climbing to it."""
     root = now = Node("html", None, False)
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            now.children.append(page[at:])
-            break
-        if m.start() > at:
-            now.children.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "p" and not _within(now, "p"):
-                continue
-            up = now
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                now = up.parent
+    opened: Counter[str] = Counter()
+
+    def leave(node: Node) -> None:
+        """Close ``node`` and all that is open in it."""
+        nonlocal now
+        while True:
+            one, now = now, now.parent
+            opened[one.tag] -= 1
+            if one is node:
+                return
+
+    scanner = Scanner(page)
+    for text, closing, tag, labels in scanner:
+        if text:
+            now.children.append(text)
+        if tag is None or tag == "html":
             continue
-        if tag == "html":
+        if closing:
+            if opened[tag] > 0:
+                up = now
+                while up.tag != tag:
+                    up = up.parent
+                leave(up)
             continue
-        if tag in P_CLOSERS:
-            now = _close(now, {"p"}, {"td", "th", "table", "button", "html"})
-        if tag in IMPLIED:
-            now = _close(now, *IMPLIED[tag])
-        labels = m[3]
-        bad = tag in DROPPED or (tag == "header" and not _within(now, "article") and not _within(now, "main"))
+        if tag in P_CLOSERS and now.outer[0] is not None:
+            leave(now.outer[0])
+        if tag in RULE and now.outer[RULE[tag]] is not None:
+            leave(now.outer[RULE[tag]])
+        bad = tag in DROPPED or (tag == "header" and not opened["article"] and not opened["main"])
         if not bad and labels and tag != "body":
             bad = any(x[3] or x[4] or _names_other(x[0] or x[1] or x[2]) for x in LABELS.findall(labels))
         node = Node(tag, now, bad)
         now.children.append(node)
         if tag in RAW:
-            end = re.compile(f"</{tag}[^>]*>", re.IGNORECASE).search(page, at)
-            node.children.append(page[at : end.start() if end else n])
-            at = end.end() if end else n
+            node.children.append(scanner.raw(tag))
         elif tag not in VOID and not labels.rstrip().endswith("/") or tag == "a":
             now = node
+            opened[tag] += 1
     return root
 
 
 def _names_other(names: str) -> bool:
-    return any(BOILERPLATE.fullmatch(n) and not ABOUT.match(n) for n in names.split())
-
-
-def _within(node: Node, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
+    """Whether one of the names has a boilerplate word among its parts."""
+    for name in names.lower().split():
+        parts = name.replace("_", "-").split("-")
+        if (name in HEADERS or not BOILERPLATE.isdisjoint(parts)) and ABOUT.isdisjoint(parts[:-1]):
             return True
-        node = node.parent
     return False
 
 
-def _close(node: Node, tags: set[str], bounds: set[str]) -> Node:
-    """Leave the outermost open element among ``tags`` inside the nearest of ``bounds``."""
-    up, out = node, node
-    while up is not None and up.parent is not None and up.tag not in bounds:
-        if up.tag in tags:
-            out = up.parent
-        up = up.parent
-    return out
+def _words(text: str) -> list[str]:
+    """What white space parts; NUL counts as such."""
+    return text.replace("\0", " ").split()
 
 
 def _kept(node: Node) -> list[Node]:
@@ -155,7 +229,7 @@ def _measure(body: Node) -> list[Node]:
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, str):
-                node.chars += len(SPACE.sub("", c))
+                node.chars += len("".join(_words(c)))
             elif not c.dropped:
                 node.chars += c.chars
                 node.tags += 1 + c.tags
@@ -231,7 +305,7 @@ def blocks(node: Node) -> list[str]:
     line: list[str] = []
 
     def end() -> None:
-        text = SPACE.sub(" ", html.unescape("".join(line)).replace("\xa0", " ")).strip()
+        text = " ".join(_words(html.unescape("".join(line))))
         line.clear()
         if text:
             out.append(text)
@@ -270,7 +344,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     def extracted(found: pa.Array) -> pa.Array:
         return pa.array([main_text(x.as_py()) for x in found], pa.string())
 
-    return pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html_col]).alias("page"), extracted(common.whole_text(html_col)).alias("text"))
+    return common.spread(pages).select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html_col]).alias("page"), extracted(common.whole_text(html_col)).alias("text"))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
