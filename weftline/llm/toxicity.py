@@ -9,8 +9,8 @@ so that a pair of terms can count for more than its parts: an insult next to the
 of a group, say, where neither says much by itself. It is fitted on a bounded, documented
 sample of labelled rows (``SAMPLE`` of each label at most, in order of a hash of the id)
 by AdaGrad; only terms whose counts on that sample tell the labels apart (a z-score of at
-least ``LEAST_Z`` and ``LEAST_DOCS`` rows) get a weight, so a long clean text gathers no
-noise.
+least ``LEAST_Z`` and ``LEAST_DOCS`` rows), by themselves or as one of a pair that occurs
+together (``PAIR_Z``), get a weight, so a long clean text gathers no noise.
 
 Scale: training is bounded, so the model (at most ``TERMS`` terms) is too; it travels to
 the tasks with the function that scores. Scoring is one narrow pass over whole texts, with
@@ -37,6 +37,10 @@ PREFIXES = (4, 5, 6)
 SAMPLE = 4000
 TERMS = 8192
 LEAST_DOCS, LEAST_Z = 3, 4.0
+#: Terms among whose pairs is looked for such as tell only together: the most frequent of label
+#: 1 that don't tell by themselves. A pair must do better than the best of about
+#: PAIRED * PAIRED / 2 pairs would by chance, and than its terms.
+PAIRED, PAIR_Z, PAIR_TERMS = 1500, 8.0, 512
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 6, 12, 64, 0.1, 1e-4
 REJECT = 0.7
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -88,19 +92,46 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
 
 
+def _z(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Scores of two proportions, of counts among n1 rows of label 1 and n0 of label 0."""
+    n1, n0 = max(1, n1), max(1, n0)
+    p = (toxic + clean) / (n1 + n0)
+    return (toxic / n1 - clean / n0) / np.maximum(1e-12, np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)))
+
+
 def select_terms(rows: list[np.ndarray], labels: np.ndarray, size: int = TERMS) -> dict[int, int]:
     """Terms whose share among the rows of label 1 differs most from that among the rest,
-    by the z-score of two proportions; ties go to the smaller term."""
+    by the z-score of two proportions; ties go to the smaller term. After them, the terms of
+    pairs that differ so though neither term does."""
     if not rows:
         return {}
     terms, place = np.unique(np.concatenate(rows), return_inverse=True)
     toxic = np.repeat(labels == 1, [len(r) for r in rows])
     both, a = np.bincount(place, minlength=len(terms)), np.bincount(place[toxic], minlength=len(terms))
-    n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    p = both / (n1 + n0)
-    z = np.abs(a / n1 - (both - a) / n0) / np.maximum(1e-12, np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)))
+    n1, n0 = int(labels.sum()), int((1 - labels).sum())
+    z = np.abs(_z(a, both - a, n1, n0))
     found = np.flatnonzero((both >= LEAST_DOCS) & (z >= LEAST_Z))
-    return {int(terms[k]): i for i, k in enumerate(found[np.argsort(-z[found], kind="stable")][:size])}
+    chosen = found[np.argsort(-z[found], kind="stable")][:size].tolist()
+    rest = np.flatnonzero((a >= LEAST_DOCS) & (z < LEAST_Z))
+    chosen += _paired(rows, labels, terms, rest[np.argsort(-a[rest], kind="stable")][:PAIRED], z)[: size - len(chosen)]
+    return {int(terms[k]): i for i, k in enumerate(chosen)}
+
+
+def _paired(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, some: np.ndarray, z: np.ndarray) -> list[int]:
+    """Of some terms (places in ``terms``), those of the best pairs, best first."""
+    if len(some) < 2:
+        return []
+    some = np.sort(some)
+    has = np.zeros((len(rows), len(some)), "f4")
+    for k, own in enumerate(rows):
+        has[k, np.isin(terms[some], own, assume_unique=True)] = 1
+    ones, zeros = has[labels == 1], has[labels == 0]
+    together, apart = ones.T @ ones, zeros.T @ zeros
+    score = np.triu(_z(together, apart, len(ones), len(zeros)), 1)
+    score[(together < LEAST_DOCS) | (score < 2 * np.maximum(z[some][:, None], z[some]))] = 0
+    x, y = np.nonzero(score >= PAIR_Z)
+    order = np.argsort(-score[x, y], kind="stable")[: PAIR_TERMS // 2]
+    return list(dict.fromkeys(some[np.column_stack([x[order], y[order]]).ravel()].tolist()))
 
 
 def fit(rows: list[np.ndarray], labels: list[int], prior: float, seed: int = 0) -> Machine:
@@ -152,8 +183,11 @@ def sample_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return clean.where("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(clean.where("toxic = 0").orderBy(order, "doc_id").limit(sample))
 
 
+@common.scoped_value
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 0) -> Machine:
-    """The machine for ``docs`` (doc_id, text) from ``labels`` (doc_id, toxic)."""
+    """The machine for ``docs`` (doc_id, text) from ``labels`` (doc_id, toxic), whatever their
+    other columns. Null ids have no label; without rows of both labels, or an empty table, the
+    machine answers the share of label 1 (0.001 at least, and where there is no label)."""
     common.tune(docs.sparkSession)
     chosen, _ = common.materialize(sample_labels(labels, sample), "labels")
 
@@ -161,9 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     def hashed(texts: pa.Array) -> pa.Array:
         return pa.array([sorted({h for w in words_of(t.as_py()) for h in terms_of(w)}) for t in texts], pa.list_(pa.int32()))
 
-    # At most 2 x sample ids are broadcast; a repeated id trains once.
-    texts = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "labelled")), F.col("doc_id") == F.col("labelled")).dropDuplicates(["labelled"])
-    rows = texts.select("labelled", "toxic", hashed(common.whole_text()).alias("terms")).toArrow().sort_by("labelled").combine_chunks()
+    # At most 2 x sample ids are broadcast. A repeated id trains once, by the least of its texts.
+    named = docs.select(F.col("doc_id").alias("labelled"), common.whole_text().alias("text"))
+    texts = named.join(F.broadcast(chosen.withColumnRenamed("doc_id", "labelled")), "labelled").groupBy("labelled").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    rows = texts.select("labelled", "toxic", hashed("text").alias("terms")).toArrow().sort_by("labelled").combine_chunks()
     terms = rows.column("terms").combine_chunks() if len(rows) else pa.array([], pa.list_(pa.int32()))
     share = labels.where(common.fold() != 1).agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
     return fit([t.values.to_numpy() for t in terms], rows.column("toxic").to_pylist(), min(0.99, max(0.001, share or 0.0)), seed)
@@ -180,11 +215,13 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     def scored(texts: pa.Array) -> pa.Array:
         return pa.array([machine.score(t.as_py()) for t in texts], pa.float64())
 
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), scored(common.whole_text()).alias("score"))
+    return common.spread(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), scored(common.whole_text()).alias("score"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = REJECT) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more."""
+    """``docs`` without the rows that score ``threshold`` or more. Other columns, whatever their
+    names, stay as they are; null and empty texts score the bias and stay unless that is so
+    high; repeated rows go or stay together; an empty table stays empty."""
     kept = score(docs, train(docs, labels)).where(F.col("score") < threshold)
     return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
