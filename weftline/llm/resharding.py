@@ -1,20 +1,24 @@
 """Resharding by minimum-cost flow.
 
-Rows hash to blocks by their text, so equal texts travel together; only a block larger
-than a sixteenth of a shard is split, by a salt, so that a hot text can't overfill a
-shard. A block is the unit of transfer:
+Rows hash to blocks by their text, so equal texts travel together. A text that by itself is
+larger than a sixteenth of a shard is hot: it leaves its block and is cut by a salt into parts
+of about that size, so that it can't overfill a shard; other texts are never torn apart. A
+block, or a part of a hot text, is the unit of transfer:
 
-1. One aggregation gives bytes and rows of every block and, summed, of every old shard.
+1. One aggregation gives bytes and rows of every block of every old shard; where a block is
+   large, a second one finds the hot texts in it.
 2. A transport network (old shards -> new shards; staying is free, moving costs one a
    byte) is solved by successive shortest paths. Its optimum moves the fewest bytes that
    meet the new capacities.
-3. Blocks are dealt, largest first, to the flows that leave their old shard, then small
-   corrections level what whole blocks can't split. Rows join their block's new shard.
-4. ``rewrite`` writes only the shards that gained or lost a block.
+3. Units are dealt, largest first, to the flows that leave their old shard, then small
+   corrections level what whole units can't split. Rows join their unit's new shard.
+4. ``rewrite`` writes only the shards that gained or lost a row; ``migrate`` does all of it to
+   a folder of shards.
 
-Scale: the driver holds block totals only: ``BLOCKS`` x ``SALTS`` rows at most, whatever
-the input. Texts never shuffle for the plan; slots come from one window over (block,
-salt), which holds a bounded share of rows, never a whole shard.
+Scale: the driver holds unit totals only: ``BLOCKS`` for each old shard that a block lies in,
+and sixteen hot parts a shard about. Texts never shuffle for the plan. Slots come from one
+range partitioning by (shard, text checksum, size, row), whose last key is unique: a hot text
+or shard is cut like any other, and a slot is the place in a partition plus the counts before.
 """
 
 from __future__ import annotations
@@ -26,12 +30,12 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from . import common
 
 BLOCKS = 4096
-SALTS = 16
+#: A hot text is one larger than this part of the smallest new shard.
+HOT_PART = 16
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -135,15 +139,17 @@ def default_old_shard(old_shards: int) -> Column:
     return F.floor(F.col("block") * old_shards / BLOCKS).cast("int")
 
 
+@common.scoped
 def reshard(docs: DataFrame, capacity: list[int] | int, old_shard: Column | None = None, old_shards: int = 5) -> tuple[DataFrame, DataFrame]:
     """Rows with their new place, and the block transfers that lead there.
 
     ``docs`` needs doc_id and text; the row as it came is under ``doc``. ``capacity``:
     bytes of each new shard, or a number of shards of near-equal bytes. ``old_shard``: an
-    expression over the row (it must be equal for equal texts); else contiguous blocks.
-    Returns (doc, size, text_crc32, old_shard, shard, slot) and (old_shard, block, salt,
-    shard, bytes, rows). Null text has size 1 and is a text of its own, apart from the
-    empty one only in that it is null; an empty table gives no row.
+    expression over the row, not null; else contiguous blocks.
+    Returns (doc, size, text_crc32, old_shard, shard, slot) and (old_shard, block, hot, part,
+    shard, bytes, rows); hot: the hash of a hot text, 0 for what is left of the block. Null
+    text is empty, of size 1; repeated rows each take a slot, ties in any order; an empty table
+    gives no row.
     """
     spark = docs.sparkSession
     text = common.whole_text()
@@ -152,63 +158,109 @@ def reshard(docs: DataFrame, capacity: list[int] | int, old_shard: Column | None
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         *([] if old_shard is None else [old_shard.cast("int").alias("old_shard")]),
-        F.pmod(F.xxhash64(text), F.lit(BLOCKS)).cast("int").alias("block"),
-        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int").alias("salt"),
-    )
+        F.xxhash64(text).alias("hash"),
+        F.monotonically_increasing_id().alias("row"),
+    ).withColumn("block", F.pmod("hash", F.lit(BLOCKS)).cast("int"))
     if old_shard is None:
         rows = rows.withColumn("old_shard", default_old_shard(old_shards))
     rows, _ = common.materialize(rows, "blocks")
-    parts = rows.groupBy("old_shard", "block", "salt").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
-    total = sum(p["bytes"] for p in parts)
-    targets = near_equal(total, capacity) if isinstance(capacity, int) else list(capacity)
-    whole, count = defaultdict(int), defaultdict(int)
-    for p in parts:
-        whole[p["old_shard"], p["block"]] += p["bytes"]
-        count[p["old_shard"], p["block"], p["salt"]] += p["rows"]
-    limit = max(1, min(targets, default=1) // 16)
-    units, made = {}, defaultdict(int)
-    for p in parts:  # a block is one unit, unless it is so large that its salts are
-        block = (p["old_shard"], p["block"])
-        key = (*block, p["salt"] if whole[block] > limit else -1)
-        units[p["old_shard"], p["block"], p["salt"]] = key
-        made[key] += p["bytes"]
-    placed, _ = plan_blocks([(k, k[0], v) for k, v in made.items()], targets)
-    first, moves = defaultdict(int), []
-    for k in sorted(units):  # the first slot of each part
-        shard = placed[units[k]]
-        moves.append((*k, shard, first[shard]))
-        first[shard] += count[k]
-    schema = T.StructType([T.StructField(c, T.LongType() if c == "first_slot" else T.IntegerType()) for c in ("old_shard", "block", "salt", "shard", "first_slot")])
-    plan = spark.createDataFrame(moves, schema)  # at most BLOCKS x SALTS rows for each old shard of a block
-    key = ["old_shard", "block", "salt"]
-    order = Window.partitionBy(*key).orderBy("text_crc32", "size")
-    out = rows.join(F.broadcast(plan), key).withColumn("slot", F.col("first_slot") + F.row_number().over(order) - 1)
-    sizes = spark.createDataFrame([(*k, p["bytes"], p["rows"]) for p in parts for k in [(p["old_shard"], p["block"], p["salt"])]], "old_shard int, block int, salt int, bytes long, rows long")
-    return out.select("doc", "size", "text_crc32", "old_shard", "shard", "slot", "block", "salt"), plan.drop("first_slot").join(sizes, key)
+    sums = [F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")]
+    whole = {(p["old_shard"], p["block"]): (p["bytes"], p["rows"]) for p in rows.groupBy("old_shard", "block").agg(*sums).collect()}
+    targets = near_equal(sum(x for x, _ in whole.values()), capacity) if isinstance(capacity, int) else list(capacity)
+    limit = max(1, min(targets, default=1) // HOT_PART)
+    units = {(*block, 0, 0): x for block, x in whole.items()}
+    hot: dict[tuple, int] = {}
+    if large := sorted({block for (_, block), (x, _) in whole.items() if x > limit}):
+        texts = rows.where(F.col("block").isin(large)).groupBy("old_shard", "block", "hash").agg(*sums).where((F.col("bytes") > limit) & (F.col("rows") > 1))
+        hot = {(p["old_shard"], p["block"], p["hash"]): -(-p["bytes"] // limit) for p in texts.collect()}  # HOT_PART a shard at most
+    cut = spark.createDataFrame([(*k, n) for k, n in hot.items()], "old_shard int, block int, hash long, parts long")
+    rows = rows.join(F.broadcast(cut), ["old_shard", "block", "hash"], "left")
+    rows = rows.withColumn("hot", F.when(F.col("parts").isNotNull(), F.col("hash")).otherwise(0)).withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)))
+    key = ["old_shard", "block", "hot", "part"]
+    if hot:
+        for p in rows.where("parts IS NOT NULL").groupBy(*key).agg(*sums).collect():
+            k, block = tuple(p[c] for c in key), (p["old_shard"], p["block"], 0, 0)
+            units[k] = (p["bytes"], p["rows"])
+            units[block] = (units[block][0] - p["bytes"], units[block][1] - p["rows"])
+        units = {k: x for k, x in units.items() if x[1]}
+    placed, _ = plan_blocks([(k, k[0], x) for k, (x, _) in units.items()], targets)
+    plan = spark.createDataFrame([(*k, placed[k], *x) for k, x in units.items()], "old_shard int, block int, hot long, part long, shard int, bytes long, rows long")
+    moved = rows.join(F.broadcast(plan.select(*key, "shard")), key)
+    order = moved.repartitionByRange("shard", "text_crc32", "size", "row").sortWithinPartitions("shard", "text_crc32", "size", "row")
+    order = order.select("doc", "size", "text_crc32", "old_shard", "shard", "block", "hot", "part", F.spark_partition_id().alias("piece"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    order, _ = common.materialize(order, "order")
+    # Of each partition and shard: rows, and the place of the first. A partition holds few shards.
+    pieces = sorted(tuple(r) for r in order.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at")).collect())
+    before, starts = defaultdict(int), []
+    for shard, piece, n, at in pieces:
+        starts.append((shard, piece, before[shard] - at))
+        before[shard] += n
+    out = order.join(F.broadcast(spark.createDataFrame(starts, "shard int, piece int, first long")), ["shard", "piece"]).withColumn("slot", F.col("first") + F.col("at"))
+    return out.select("doc", "size", "text_crc32", "old_shard", "shard", "slot", "block", "hot", "part"), plan
 
 
 def rewrite(docs: DataFrame, new_shard: Column, old_shard: Column, path: str) -> list[int]:
     """Write the shards that gained or lost a row to ``path``/shard=N and return their
     numbers; the other shards keep their files. ``docs`` may be read from ``path``: touched
     shards are written aside first, then take the place of the old ones, one by one; one that
-    lost all its rows goes."""
+    lost all its rows goes. A driver lost midway leaves all of that aside: ``recover`` goes on
+    from there. Null texts and repeated rows are rows like any other; rows without a new shard
+    are an error, since they would be lost; an empty table touches nothing."""
     spark = docs.sparkSession
-    moved = docs.select(old_shard.alias("a"), new_shard.alias("b")).where("a <> b").distinct().collect()
-    touched = sorted({int(x) for r in moved for x in (r["a"], r["b"])})
+    recover(spark, path)
+    moved = docs.select(old_shard.cast("int").alias("a"), new_shard.cast("int").alias("b")).where("NOT a <=> b").distinct().collect()  # pairs of shards
+    if any(r["b"] is None for r in moved):
+        raise ValueError("a row has no new shard")
+    touched = sorted({int(x) for r in moved for x in (r["a"], r["b"]) if x is not None})
     if not touched:
         return touched
-    aside = f"{path}/_rewrite-{uuid.uuid4().hex}"  # readers skip names with an underscore
-    docs.withColumn("shard", new_shard).where(F.col("shard").isin(touched)).write.partitionBy("shard").parquet(f"{aside}/new")
+    aside = f"{path}/{ASIDE}{uuid.uuid4().hex}"
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "shard"]
+    docs.select(*kept, new_shard.cast("int").alias("shard")).where(F.col("shard").isin(touched)).write.partitionBy("shard").parquet(f"{aside}/new")
     common.make_folder(spark, f"{aside}/old")
     for n in touched:
-        if common.exists(spark, f"{path}/shard={n}"):
-            common.move(spark, f"{path}/shard={n}", f"{aside}/old/shard={n}")
-        if common.exists(spark, f"{aside}/new/shard={n}"):
-            common.move(spark, f"{aside}/new/shard={n}", f"{path}/shard={n}")
-    common.drop(spark, aside)
+        common.make_folder(spark, f"{aside}/todo/shard={n}")
+    common.make_folder(spark, f"{aside}/{READY}")
+    recover(spark, path)
     return touched
 
 
+#: Folders of a rewrite under way (readers skip names with an underscore), and the mark that all
+#: its files are written.
+ASIDE, READY = "_rewrite-", "ready"
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish a rewrite whose files are all written; drop one whose files aren't."""
+    for name in common.names_in(spark, path):
+        aside = f"{path}/{name}"
+        if not name.startswith(ASIDE):
+            continue
+        for shard in common.names_in(spark, f"{aside}/todo") if common.exists(spark, f"{aside}/{READY}") else []:
+            # The old files go aside before the new ones come: what stands in the shard's place,
+            # once they have, is new.
+            if common.exists(spark, f"{path}/{shard}") and not common.exists(spark, f"{aside}/old/{shard}"):
+                common.move(spark, f"{path}/{shard}", f"{aside}/old/{shard}")
+            if common.exists(spark, f"{aside}/new/{shard}"):
+                common.make_folder(spark, f"{aside}/old/{shard}")
+                common.move(spark, f"{aside}/new/{shard}", f"{path}/{shard}")
+            common.drop(spark, f"{aside}/todo/{shard}")
+        common.drop(spark, aside)
+
+
+def migrate(spark: SparkSession, path: str, capacity: list[int] | int) -> list[int]:
+    """Reshard a folder of shards (``path``/shard=N with doc_id, text and any other columns) to
+    new capacities, moving the fewest bytes; returns the shards that were rewritten."""
+    recover(spark, path)
+    rows = spark.read.parquet(path)
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    placed, _ = reshard(rows.select(whole.alias("row"), "text"), capacity, F.col("row.shard"))
+    moved = placed.select("doc.row", F.col("shard").alias("new_shard"))
+    flat = moved.select(*[F.col(f"row.`{c}`").alias(f"c{k}") for k, c in enumerate(rows.columns) if c != "shard"], F.col("row.shard").alias("old"), "new_shard")
+    named = flat.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(rows.columns) if c != "shard"], F.struct("old", "new_shard").alias("shard"))
+    return rewrite(named, F.col("shard.new_shard"), F.col("shard.old"), path)
+
+
 def op2_resharding(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame:
     """All documents from five old shards into eight of near-equal bytes."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
