@@ -8,12 +8,13 @@ mixed alphanumeric, base 64), which fixes the alphabet of its tests:
 * runs: do upper-case letters, lower-case letters and digits alternate as chance would;
 * serial correlation: does a character's place in the alphabet say nothing of the next.
 
-A candidate is random enough if none of the three rejects chance (``PASS_Z``). That alone
-would also pass odd words, so each also gets a p-value against running text: how likely
-text of that length is to repeat characters so rarely and to change class so often. These
-p-values are divided by weights that grow with length (a short string has little power)
-and go through the Benjamini-Hochberg step-up over all candidates of the corpus, at a
-false-discovery rate of ``FDR``.
+Each test is read twice. Against chance: a candidate is random enough if none of the three
+statistics lies past ``PASS_Z`` deviations of what its encoding and length lead to expect.
+Against running text: how likely text of that length is to come as close to chance, by the
+same statistic (its letters repeat, its classes seldom change, its places may follow each
+other). The three p-values against text are combined (Stouffer), divided by weights that grow
+with length (a short string has little power) and go through the Benjamini-Hochberg step-up
+over all candidates of the corpus, at a false-discovery rate of ``FDR``.
 
 Everything is built-in functions, row by row: positions come from splitting a text by a
 pattern and adding up lengths. The step-up needs only a histogram of the p-values on
@@ -41,9 +42,10 @@ CANDIDATE = "[A-Za-z0-9+/_-]{16,}={0,2}"
 
 #: A test rejects chance past this many standard deviations (two-sided 0.1 %).
 PASS_Z = 3.29
-#: Running text: sum of squared and of cubed letter frequencies, and how often neighbours
-#: change between upper case, lower case and digits at most.
-TEXT_SQUARES, TEXT_CUBES, TEXT_CHANGES = 0.065, 0.0055, 0.25
+#: Running text: sum of squared and of cubed letter frequencies, how often neighbours change
+#: between upper case, lower case and digits at most, and the least correlation that counts as
+#: characters following each other.
+TEXT_SQUARES, TEXT_CUBES, TEXT_CHANGES, TEXT_SERIAL = 0.065, 0.0055, 0.25, 0.4
 FDR = 0.01
 #: The histogram: -log10 of the weighted p-value, BINS bins of BIN each.
 BIN, BINS = 0.05, 1000
@@ -141,10 +143,13 @@ def _verdict(s: Column) -> Column:
     n, size, change, squares, pairs, changes = (s[c] for c in ("n", "size", "change", "squares", "pairs", "changes"))
     chi = (size / n * squares - n - (size - 1)) / F.sqrt(2 * (size - 1))
     runs = (changes - pairs * change) / F.sqrt(1.25 * pairs * change * (1 - change))
+    # The same statistics, in deviations of running text: chi-squared is linear in the share of
+    # equal pairs of characters, runs in the share of changes.
     repeats = (squares - n) / (n * (n - 1))
-    rare = (TEXT_SQUARES - repeats) / F.sqrt(4 / n * (TEXT_CUBES - TEXT_SQUARES**2) + 2 / (n * n) * TEXT_SQUARES)
-    lively = (changes / pairs - TEXT_CHANGES) / F.sqrt(TEXT_CHANGES * (1 - TEXT_CHANGES) / pairs)
-    tail = let((rare + lively) / math.sqrt(2), lambda z: F.when(z > 0.5, (z * z / 2 + F.log(z * math.sqrt(2 * math.pi))) / math.log(10)).otherwise(0.0))  # the bound of Mills
+    text_chi = (TEXT_SQUARES - repeats) / F.sqrt(4 / n * (TEXT_CUBES - TEXT_SQUARES**2) + 2 / (n * n) * TEXT_SQUARES)
+    text_runs = (changes / pairs - TEXT_CHANGES) / F.sqrt(TEXT_CHANGES * (1 - TEXT_CHANGES) / pairs)
+    text_serial = TEXT_SERIAL * F.sqrt(n) - F.abs(s["serial"])
+    tail = let((text_chi + text_runs + text_serial) / math.sqrt(3), lambda z: F.when(z > 0.5, (z * z / 2 + F.log(z * math.sqrt(2 * math.pi))) / math.log(10)).otherwise(0.0))  # the bound of Mills
     passed = (F.abs(chi) < PASS_Z) & (F.abs(runs) < PASS_Z) & (F.abs(s["serial"]) < PASS_Z)
     return F.struct(passed.alias("passed"), F.greatest(tail, F.lit(0.0)).alias("evidence"), F.least(n / WEIGHT_LENGTH, F.lit(float(MAX_WEIGHT))).alias("weight"))
 
@@ -166,13 +171,14 @@ def _step_up(tested: DataFrame) -> float:
     return least
 
 
+@common.scoped
 def scan(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """(doc, base, spans): the row as it came (without its text unless ``keep_text``), its
     base spans and all its spans, each (start, kind, end) in code points, in order.
 
     Null text is empty; it and empty texts have no span. Repeated rows each return.
     """
-    text = common.whole_text()
+    docs, text = common.spread(docs), common.whole_text()
     kept = [c for c in docs.columns if keep_text or c != "text"]
     base = F.array_sort(F.concat(_spans(text, ASSIGN, "assign"), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), text.alias("text"), base.alias("base"))
@@ -189,7 +195,8 @@ def scan(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret replaced by ``mark``; overlapping spans by one. A column
-    n_chars, if there is one, follows the text. Other rows return as they came."""
+    n_chars, if there is one, follows the text. Other rows return as they came, null texts and
+    repeated rows too, and other columns whatever their names; an empty table stays empty."""
     found = scan(docs, keep_text=True)
     text, spans = F.col("doc.text"), F.col("spans")
     # What stands before each span and after the furthest end of those before it.
