@@ -10,10 +10,12 @@ therefore misses nothing. Only windows around an anchor that hit are spelled out
 joined with the benchmark's windows, word for word, which verifies them.
 
 Everything is built-in functions. Texts never shuffle: a document goes through as one row
-with the few windows to verify, and one aggregation by row gathers its verified hits.
-Both sets are counted before they are shipped: up to ``MAX_SET`` grams they travel to the
-tasks; a larger benchmark is probed without anchors, by a shuffled join of all windows.
-A passage that a third of all documents share is a few more rows for each of them.
+with the few windows to verify; rows with none are done, and one aggregation by row gathers
+the verified hits of the others. The hash set travels to the tasks as a table of bits, one a
+gram at 1 of 32 bits set or fewer; it has ``MOST_BITS`` at most, so what is shipped is bounded
+and a very large benchmark only means more windows to verify. The windows are broadcast only
+if they are counted and few, in rows and bytes; else they meet by a shuffled join. A passage
+that a third of all documents share is a few more rows for each of them.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from . import common
 
 N = 8
-#: Most anchor grams that travel as a literal set, and most windows that are broadcast.
-MAX_SET = 200_000
+#: Bits of the hash set for each gram, and of one set at most (2 MB).
+BITS_A_GRAM, MOST_BITS = 32, 1 << 24
+#: Most windows that are broadcast, and most bytes of them.
+MAX_SET, MAX_BYTES = 200_000, 32 << 20
 #: What lies between words once A-Z are lower-cased, and a word as it stands in the text; fixed by the normalisation.
 GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -54,36 +58,51 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     return items.select("item_id", length.alias("length"), F.explode(spelled).alias("window")).groupBy("window", "length").agg(F.collect_set("item_id").alias("items"))
 
 
-def _windows_to_verify(w: Column, length: int, known: list[int] | None) -> Column:
-    """Windows of one length around the anchors that hit, or all where no set is given."""
-    anchor = (length + 1) // 2
+def _hash_set(grams: DataFrame) -> tuple[Column, int]:
+    """A table of bits as one constant array of longs, and its size: a gram's hash sets the bit
+    at its remainder."""
+    bits = 64
+    while bits < min(MOST_BITS, BITS_A_GRAM * grams.count()):
+        bits *= 2
+    at = F.pmod("gram", F.lit(bits))
+    cells = grams.groupBy(F.shiftright(at, 6).cast("int").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(gram, {bits}) % 64 AS INT))")).alias("bits"))
+    table = [0] * (bits // 64)
+    for r in cells.collect():  # bits / 64 at most
+        table[r["cell"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<long>"), bits
+
+
+def _windows_to_verify(w: Column, length: int, known: tuple[Column, int]) -> Column:
+    """Windows of one length around the anchors that hit."""
+    anchor, (table, bits) = (length + 1) // 2, known
     last = F.size(w) - F.lit(length)
-    starts = _starts(w, length)
-    if known is not None:
-        found = F.filter(_starts(w, anchor, length - anchor + 1), lambda i: _hash(w, i, anchor).isin(known))
-        around = F.transform(found, lambda i: F.sequence(F.greatest(F.lit(0), i - F.lit(length - anchor)), F.least(i, last)))
-        starts = F.when(last >= 0, F.array_distinct(F.flatten(around))).otherwise(F.array().cast("array<int>"))
+    seen = F.transform(_starts(w, anchor, length - anchor + 1), lambda i: F.struct(i.alias("at"), F.pmod(_hash(w, i, anchor), F.lit(bits)).alias("h")))
+    found = F.filter(seen, lambda x: F.getbit(F.get(table, F.shiftright(x["h"], 6).cast("int")), x["h"].cast("int").bitwiseAND(F.lit(63))) == 1)
+    around = F.transform(found, lambda x: F.sequence(F.greatest(F.lit(0), x["at"] - F.lit(length - anchor)), F.least(x["at"], last)))
+    starts = F.when(last >= 0, F.array_distinct(F.flatten(around))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(w, i + F.lit(1), F.lit(length)), " ").alias("window"), F.lit(length).alias("length")))
 
 
 def _probed(docs: DataFrame, windows: DataFrame, keep_text: bool) -> DataFrame:
-    """(row, doc, n_words, probes): the windows of each row that are to be verified."""
+    """(row, doc, n_words, probes), written out: the windows of each row that are to be verified."""
     kept = [c for c in docs.columns if keep_text or c != "text"]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), words(F.col("text")).alias("w"))
+    rows = common.spread(docs).select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), words(F.col("text")).alias("w"))
     w, probes = F.col("w"), []
     for length in sorted(r["length"] for r in windows.select("length").distinct().collect()):  # n at most
         anchor = (length + 1) // 2
         own = windows.where(F.col("length") == length).select(F.split("window", " ").alias("w"))
         grams = own.select(F.explode(F.transform(_starts(w, anchor), lambda i: _hash(w, i, anchor))).alias("gram")).distinct()  # noqa: B023  used at once
-        known = [r["gram"] for r in grams.limit(MAX_SET + 1).collect()]
-        probes.append(_windows_to_verify(w, length, known if len(known) <= MAX_SET else None))
+        probes.append(_windows_to_verify(w, length, _hash_set(grams)))
     none = F.array().cast("array<struct<at:int,window:string,length:int>>")
-    return rows.select("row", "doc", F.size("w").cast("long").alias("n_words"), (F.concat(*probes) if probes else none).alias("probes"))
+    made = rows.select("row", "doc", F.size("w").cast("long").alias("n_words"), (F.concat(*probes) if probes else none).alias("probes"))
+    return common.materialize(made, "probed")[0]
 
 
 def _verified(probed: DataFrame, windows: DataFrame) -> DataFrame:
-    rows = probed.select("row", "doc", "n_words", F.explode_outer("probes").alias("probe")).select("row", "doc", "n_words", "probe.at", "probe.window", "probe.length")
-    small = windows.limit(MAX_SET + 1).count() <= MAX_SET
+    """(doc, n_words, n_hit, items, hits) of rows with windows to verify."""
+    rows = probed.where(F.size("probes") > 0).select("row", "doc", "n_words", F.explode("probes").alias("probe")).select("row", "doc", "n_words", "probe.at", "probe.window", "probe.length")
+    size = windows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0)).alias("bytes")).first()
+    small = size["n"] <= MAX_SET and size["bytes"] <= MAX_BYTES
     hit = rows.join(F.broadcast(windows) if small else windows, ["window", "length"], "left")
     at = F.when(F.col("items").isNotNull(), F.struct("at", (F.col("at") + F.col("length")).alias("until")))
     return (
@@ -94,6 +113,7 @@ def _verified(probed: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
+@common.scoped
 def find(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """``doc`` (the row as it came, without its text), n_words, n_hit, items (distinct item
     ids) and hits (word ranges [at, until), merged and in order).
@@ -102,7 +122,10 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     with a null id marks words but is no item. An empty benchmark hits nothing.
     """
     windows, _ = common.materialize(benchmark_windows(benchmark, n), "windows")
-    return _verified(_probed(docs, windows, False), windows)
+    probed = _probed(docs, windows, False)
+    found = _verified(probed, windows)
+    nothing = [F.array().cast(found.schema[c].dataType).alias(c) for c in ("items", "hits")]
+    return found.unionByName(probed.where(F.size("probes") == 0).select("doc", "n_words", F.lit(0).cast("long").alias("n_hit"), *nothing))
 
 
 def _merged(ranges: Column) -> Column:
@@ -121,15 +144,17 @@ def _merged(ranges: Column) -> Column:
     return F.aggregate(ranges, start, add)
 
 
+@common.scoped
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items: int = 2) -> DataFrame:
     """``docs`` without its contaminated rows (windows of ``min_items`` items or more) and,
     in the others, without the words that are hit; each cut word goes with the gap after
     it. A column n_chars, if there is one, follows the text. Rows without a hit are
-    returned as they came."""
+    returned as they came, null and empty texts too, and other columns whatever their names;
+    repeated rows each return; an empty table stays empty."""
     windows, _ = common.materialize(benchmark_windows(benchmark, n), "windows")
-    probed, _ = common.materialize(_probed(docs, windows, True), "probed")
+    probed = _probed(docs, windows, True)
     clean = probed.where(F.size("probes") == 0).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
-    found = _verified(probed.where(F.size("probes") > 0), windows).where(F.size("items") < min_items)
+    found = _verified(probed, windows).where(F.size("items") < min_items)
     text = F.col("doc.text")
     gaps, own, hits = F.split(text, WORD), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.col("hits")
     parts = found.select("doc", "hits", F.when(F.size(hits) > 0, gaps).alias("gaps"), F.when(F.size(hits) > 0, own).alias("own"))
