@@ -9,14 +9,15 @@ merged and reranked by the exact cosine of the original vectors in double precis
 
 * Equal vectors are one point: a vector that a third of all rows share takes one place on
   each curve, and the point carries its smallest ids, as many as an answer can need.
-* Ranks are cut to blocks of ``BLOCK`` points; a query goes to the blocks that its window
-  meets, so a task holds one block and the queries near it, whatever the input.
+* Ranks are cut to blocks of ``BLOCK`` points, and the ranks of queries to cells of ``CELL``:
+  a group is one block and the queries of one cell that its windows meet, so it holds a bounded
+  number of either, however wide the window and large the input.
 * Each block answers a query with its best ``k`` points; merging those is one aggregation.
 
 The rotations are random (no fit). The window sets recall: it is calibrated on a bounded
 sample of points, whose true neighbours a scan of all points finds, so that ``TARGET`` of
-those lie in it. Vectors without structure (isotropic noise) need wide windows; the README
-has figures.
+those lie in it. On vectors without structure (isotropic noise) that is a share of all points,
+so the work then grows as that of a scan does; the README has figures.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ DIMS = 6
 BITS = 8
 #: Share of true neighbours that the window is calibrated to find, on how many points.
 TARGET, PROBES, LEAST_WINDOW = 0.95, 128, 64
-BLOCK = 1024
+BLOCK, CELL = 1024, 65_536
 SEED = 7
 #: Hash bins in which the ids of a vector are cut before they meet.
 BINS = 64
@@ -164,6 +165,7 @@ def _calibrated(points: DataFrame, ranked: DataFrame, k: int, every: int) -> int
     return max(LEAST_WINDOW, gaps[min(len(gaps) - 1, int(len(gaps) * TARGET))]) if gaps else LEAST_WINDOW
 
 
+@common.scoped
 def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = 50, curves: int = CURVES, window: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): for each row whose id divides by ``every``, its ``k``
     nearest found among all other rows; ties go to the smaller id. ``window``: points
@@ -207,9 +209,11 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     asked = _usable(fitting, id_col, vector_col).where(F.col("id") % every == 0).withColumn("vector", F.col("vector").cast(kind)).distinct()
     asked, _ = common.materialize(asked.join(points.select("vector", "point"), "vector").select("id", "point"), "asked")
     full = ranked.join(points, "point").select("curve", "point", "rank", F.floor(F.col("rank") / BLOCK).alias("block"), "vector", "ids")
+    first = F.col("block") * BLOCK
+    full = full.withColumn("cell", F.explode(F.sequence(F.floor(F.greatest(first - wide, F.lit(0)) / CELL), F.floor((first + BLOCK - 1 + wide) / CELL))))
     reach = F.sequence(F.floor(F.greatest(F.col("rank") - wide, F.lit(0)) / BLOCK), F.floor((F.col("rank") + wide) / BLOCK))
     near = ranked.join(asked.select("point").distinct(), "point").join(points.select("point", "vector"), "point").select("curve", "point", "rank", "vector", F.explode(reach).alias("block"))
-    near = near.toDF("q_curve", "q_point", "q_rank", "q_vector", "q_block")
+    near = near.toDF("q_curve", "q_point", "q_rank", "q_vector", "q_block").withColumn("q_cell", F.floor(F.col("q_rank") / CELL))
 
     def best(ours: pa.Table, theirs: pa.Table) -> pa.Table:
         """Each query's k + 1 best points of one block that lie in its window on its curve."""
@@ -226,7 +230,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             out.append(pa.table([pa.array(point), pa.array(top), ids.take(pa.array(at))], schema=schema))
         return pa.concat_tables(out)
 
-    found = near.groupBy("q_block").cogroup(full.groupBy("block")).applyInArrow(best, "point long, score double, ids array<long>")
+    found = near.groupBy("q_block", "q_cell").cogroup(full.groupBy("block", "cell")).applyInArrow(best, "point long, score double, ids array<long>")
     # Candidates of a point by id; it keeps k + 1, since each query takes itself out of them.
     places = Window.partitionBy("point").orderBy(F.desc("score"), "id")
     top = found.select("point", "score", F.explode("ids").alias("id")).groupBy("point", "id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(places)).where(F.col("n") <= k + 1)
