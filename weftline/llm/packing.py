@@ -95,6 +95,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int) -
         yield pa.RecordBatch.from_arrays([doc_id, *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
 
+@common.scoped
 def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = WINDOW, end_id: int = END_ID, bin_pieces: int = BIN_PIECES) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, sequence_tokens (ids in that sequence; its padding is up to ``size``).
@@ -106,7 +107,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = WINDOW,
     spark = docs.sparkSession
     common.tune(spark)
     path = tokenizer_path or tokenization.default_path()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().alias("text"))
+    texts = common.spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().alias("text"))
     cut = texts.mapInArrow(lambda b: _cut(b, path, size, end_id), PIECES)
     pieces, _ = common.materialize(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     full = pieces.where(F.col("length") == size).select(
