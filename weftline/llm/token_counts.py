@@ -5,18 +5,26 @@ count) and the tokenizer file are known by SHA-256. Counts already stored for bo
 digests are joined; only distinct contents without one are encoded, and their counts are
 appended to the cache for later runs.
 
-Scale: texts cross the network once at most, as distinct misses; the later join carries
-digests and counts only. A content that a third of all rows share is encoded once, and
-adaptive skew handling splits its side of the last join. The cache is append-only
-Parquet, so a failed run leaves either no batch or a whole one, and two runs that append
-the same content do no harm: it is read by digest, one row each.
+Which contents are misses, and which of those occur more than once, is decided on digests
+alone. Two tables of bits carry that to the rows: a row whose digest is not in the first is
+stored already; one in the first but not in the second is the only row of its miss and is
+encoded where it is read. Only the rest (copies, and what falls on a bit by chance) crosses the
+network as text, one row a content and task, to be told exactly.
+
+Scale: a table of bits has ``MOST_BITS`` at most; past that it fills up and more texts cross
+the network, no count changes. The last join carries digests and counts only. A content that
+a third of all rows share is encoded once, and adaptive skew handling splits its side of the
+last join. The cache is append-only Parquet, so a failed run leaves either no batch or a whole
+one, and two runs that append the same content do no harm: it is read by digest, one row each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +34,10 @@ from . import common, tokenization
 CACHE = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("version", T.StringType()), T.StructField("n_tokens", T.LongType())])
 
 
+#: Bits for each content, and of one table at most (16 MB).
+BITS_A_CONTENT, MOST_BITS = 16, 1 << 27
+
+
 def _stored(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
     """Stored counts of this tokenizer, one row for each content."""
     if not common.exists(spark, cache_path):
@@ -34,6 +46,25 @@ def _stored(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
     return found.groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
 
 
+def _bits(contents: DataFrame) -> np.ndarray:
+    """A table of bits, a power of two, in which ``h`` of each row has set its own."""
+    bits = 1 << 15
+    while bits < min(MOST_BITS, BITS_A_CONTENT * contents.count()):
+        bits *= 2
+    at = F.pmod("h", F.lit(bits)) + 1  # bitmaps count from 1
+    parts = contents.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()  # 4 KB each
+    table = np.zeros((bits >> 15, 4096), "u1")
+    for r in parts:
+        table[r["part"] - 1] = np.frombuffer(r["bits"], "u1")
+    return table.ravel()
+
+
+def _has(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h.astype("i8") & (8 * len(table) - 1)
+    return (table[at >> 3] >> (at & 7).astype("u1")) & 1 == 1
+
+
+@common.scoped
 def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_bytes`` and ``n_tokens`` of each whole text, under the columns
     ``doc`` (a struct of the row as it came, whatever its names), n_bytes, n_tokens.
@@ -43,6 +74,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str | None =
     """
     spark = docs.sparkSession
     common.tune(spark)
+    docs = common.spread(docs)
     path = tokenizer_path or tokenization.default_path()
     version = tokenization.file_digest(path)
     text = common.whole_text(text_col)
@@ -54,20 +86,32 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str | None =
         for texts in batches:
             yield pd.Series([len(bpe.encode(t)) for t in texts], dtype="int64")
 
-    misses = (
-        docs.select(text.alias("text"), content.alias("content"))
-        .join(_stored(spark, cache_path, version), "content", "left_anti")
-        .dropDuplicates(["content"])
-        .select("content", F.lit(version).alias("version"), encoded("text").alias("n_tokens"))
-    )
-    misses.write.mode("append").parquet(cache_path)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("doc"), F.octet_length(text).cast("long").alias("n_bytes"), content.alias("content"))
+    keyed, _ = common.materialize(keyed, "keyed")
+    stored = _stored(spark, cache_path, version)
+    contents = keyed.groupBy("content").agg(F.count(F.lit(1)).alias("n")).join(stored.select("content", F.lit(True).alias("known")), "content", "left").select(F.xxhash64("content").alias("h"), "n", F.col("known").isNotNull().alias("known"))
+    contents, _ = common.materialize(contents, "contents")
+    tables = spark.sparkContext.broadcast((_bits(contents.where("NOT known")), _bits(contents.where("known OR n > 1"))))
+
+    @F.arrow_udf("int")
+    def told(h: pa.Array) -> pa.Array:
+        """0: stored. 1: the only row of a miss. 2: to be told exactly."""
+        own = h.to_numpy()
+        misses, others = tables.value
+        return pa.array(_has(misses, own) * (1 + _has(others, own)), pa.int32())
+
+    rows = docs.select(text.alias("text"), content.alias("content")).withColumn("told", told(F.xxhash64("content")))
+    again = rows.where("told = 2").groupBy("content").agg(F.first("text").alias("text")).join(stored, "content", "left_anti")
+    misses = rows.where("told = 1").select("content", "text").unionByName(again.select("content", "text"))
+    misses.select("content", F.lit(version).alias("version"), encoded("text").alias("n_tokens")).write.mode("append").parquet(cache_path)
     counts, _ = common.materialize(_stored(spark, cache_path, version), "counts")  # else the join inherits its grouping and can't split a hot content
     return keyed.join(counts, "content", "left").select("doc", "n_bytes", "n_tokens")
 
 
-def op10_token_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> DataFrame:
-    """Counts of every document, from a cache that starts cold in the shared folder."""
+def op10_token_counts(spark: SparkSession, sf_dir: str, limit: int = 1024, cache_path: str | None = None) -> DataFrame:
+    """Counts of every document. Without a path, the cache starts cold and goes with the query:
+    what a run costs then doesn't depend on runs before it."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = count_tokens(docs, common.fresh_path(spark, "token-counts"))
-    return counted.select("doc.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    with common.scope(spark) as returned:
+        counted = count_tokens(docs, cache_path or common.own_path(spark, "token-counts"))
+        return returned(counted.select("doc.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
