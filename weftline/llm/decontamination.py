@@ -11,9 +11,9 @@ joined with the benchmark's windows, word for word, which verifies them.
 
 Everything is built-in functions. Texts never shuffle: a document goes through as one row
 with the few windows to verify; rows with none are done, and one aggregation by row gathers
-the verified hits of the others. The hash set travels to the tasks as a table of bits, one a
-gram at 1 of 32 bits set or fewer; it has ``MOST_BITS`` at most, so what is shipped is bounded
-and a very large benchmark only means more windows to verify. The windows are broadcast only
+the verified hits of the others. The hash set travels to the tasks as a table of bits, of
+which one in ``BITS_A_GRAM`` is set or fewer; it has ``MOST_BITS`` at most, so what is shipped is
+bounded and a very large benchmark only means more windows to verify. The windows are broadcast only
 if they are counted and few, in rows and bytes; else they meet by a shuffled join. A passage
 that a third of all documents share is a few more rows for each of them.
 """
@@ -27,7 +27,7 @@ from . import common
 
 N = 8
 #: Bits of the hash set for each gram, and of one set at most (2 MB).
-BITS_A_GRAM, MOST_BITS = 32, 1 << 24
+BITS_A_GRAM, MOST_BITS = 512, 1 << 24
 #: Most windows that are broadcast, and most bytes of them.
 MAX_SET, MAX_BYTES = 200_000, 32 << 20
 #: What lies between words once A-Z are lower-cased, and a word as it stands in the text; fixed by the normalisation.
@@ -61,8 +61,8 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
 def _hash_set(grams: DataFrame) -> tuple[Column, int]:
     """A table of bits as one constant array of longs, and its size: a gram's hash sets the bit
     at its remainder."""
-    bits = 64
-    while bits < min(MOST_BITS, BITS_A_GRAM * grams.count()):
+    bits, enough = 64, min(MOST_BITS, BITS_A_GRAM * grams.count())
+    while bits < enough:
         bits *= 2
     at = F.pmod("gram", F.lit(bits))
     cells = grams.groupBy(F.shiftright(at, 6).cast("int").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(gram, {bits}) % 64 AS INT))")).alias("bits"))
