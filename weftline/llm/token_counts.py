@@ -46,17 +46,18 @@ def _stored(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
     return found.groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
 
 
-def _bits(contents: DataFrame) -> np.ndarray:
-    """A table of bits, a power of two, in which ``h`` of each row has set its own."""
-    bits = 1 << 15
-    while bits < min(MOST_BITS, BITS_A_CONTENT * contents.count()):
-        bits *= 2
-    at = F.pmod("h", F.lit(bits)) + 1  # bitmaps count from 1
-    parts = contents.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()  # 4 KB each
-    table = np.zeros((bits >> 15, 4096), "u1")
-    for r in parts:
-        table[r["part"] - 1] = np.frombuffer(r["bits"], "u1")
-    return table.ravel()
+def _bits(contents: DataFrame) -> list[np.ndarray]:
+    """Two tables of bits, powers of two in size, in which ``h`` has set its own: of misses, and
+    of what is stored or occurs more than once."""
+    own = ~F.col("known"), F.col("known") | (F.col("n") > 1)
+    counts = contents.agg(*[F.coalesce(F.sum(x.cast("long")), F.lit(0)) for x in own]).first()
+    sizes = [1 << min(max(15, (BITS_A_CONTENT * n).bit_length()), MOST_BITS.bit_length() - 1) for n in counts]
+    set_ = [F.struct(F.lit(k).alias("table"), (F.pmod("h", F.lit(bits)) + 1).alias("at"), x.alias("on")) for k, (x, bits) in enumerate(zip(own, sizes, strict=True))]  # bitmaps count from 1
+    rows = contents.select(F.inline(F.array(*set_))).where("on").groupBy("table", F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    tables = [np.zeros((bits >> 15, 4096), "u1") for bits in sizes]
+    for r in rows.collect():  # 4 KB each
+        tables[r["table"]][r["part"] - 1] = np.frombuffer(r["bits"], "u1")
+    return [t.ravel() for t in tables]
 
 
 def _has(table: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -91,7 +92,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str | None =
     stored = _stored(spark, cache_path, version)
     contents = keyed.groupBy("content").agg(F.count(F.lit(1)).alias("n")).join(stored.select("content", F.lit(True).alias("known")), "content", "left").select(F.xxhash64("content").alias("h"), "n", F.col("known").isNotNull().alias("known"))
     contents, _ = common.materialize(contents, "contents")
-    tables = spark.sparkContext.broadcast((_bits(contents.where("NOT known")), _bits(contents.where("known OR n > 1"))))
+    tables = spark.sparkContext.broadcast(_bits(contents))
 
     @F.arrow_udf("int")
     def told(h: pa.Array) -> pa.Array:
