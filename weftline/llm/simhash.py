@@ -11,15 +11,19 @@ fingerprints then differ in at most t_i bits of some group i. So
 3. each fingerprint is filed under its group values, and under all values of its group that
    leave out t_i bits, so that any two within t_i meet in a bucket;
 4. buckets are read in key order and verified on all 64 bits; a bucket hands on a spanning
-   forest of its links, never its pairs;
+   forest of its links, never its pairs. One of more than ``HOT`` members is first cut by the
+   same principle: its members are filed anew under ``DISTANCE + 1`` groups of bits that are
+   spread over all 64, on one of which any two linked members agree;
 5. links between distinct fingerprints are joined to components by alternating star
    contraction; every row gets the smallest doc_id of its component.
 
 Scale: rows shuffle as 64-bit numbers; texts never do. Copies collapse before anything is
 paired, so a text that a third of all rows share is one fingerprint. A bucket is streamed
 in blocks of ``BLOCK`` fingerprints: members that a component of the bucket has absorbed
-are tested against only what is still apart, so a dense group costs about its size. The
-driver sees a sample of ``SAMPLE`` fingerprints and counts, no links or components.
+are tested against only what is still apart, so a dense group costs about its size. In the
+contraction, what a node's neighbours amount to is a table of its own, so that adaptive
+execution can split the node's side of the joins. The driver sees a sample of ``SAMPLE``
+fingerprints and counts, no links or components.
 """
 
 from __future__ import annotations
@@ -44,6 +48,8 @@ SEED = 42
 SAMPLE = 4000
 #: Bucket members tested against each other at once.
 BLOCK = 2048
+#: Members from which on a bucket is cut.
+HOT = 20_000
 #: Most row numbers that are broadcast (8 bytes each).
 MAX_BROADCAST = 500_000
 
@@ -89,7 +95,7 @@ def fingerprints(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     def hashed(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t.as_py()) for t in texts], dtype="u8").view("i8"))
 
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if keep_text or c != "text"]).alias("doc"), hashed(common.whole_text()).alias("fp"))
+    return common.spread(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if keep_text or c != "text"]).alias("doc"), hashed(common.whole_text()).alias("fp"))
 
 
 # --- the plan: groups of bits and their thresholds
@@ -195,6 +201,17 @@ def _filed(batches: Iterator[pa.RecordBatch], parts: list[tuple[list[int], int]]
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view("i8")), pa.array(np.repeat(own, len(masks)).view("i8"))], names=["key", "fp"])
 
 
+def _cut(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """(key, fp) of large buckets, filed anew: each member once for each of ``distance + 1``
+    groups of bits, under its bucket's key and its bits in that group."""
+    groups = np.array([sum(1 << b for b in range(g, BITS, distance + 1)) for g in range(distance + 1)], dtype="u8")
+    salt = _mixed(np.arange(1, len(groups) + 1, dtype="u8"))
+    for batch in batches:
+        keys, fps = (batch.column(c).to_numpy().view("u8") for c in ("key", "fp"))
+        made = _mixed(_mixed((fps[:, None] & groups) ^ salt) ^ keys[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array(made.ravel().view("i8")), pa.array(np.repeat(fps, len(groups)).view("i8"))], names=["key", "fp"])
+
+
 def _forest(fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges of a spanning forest of the links within one bucket. Each member reached is
     tested against those not reached yet, in blocks, so what is absorbed costs no more."""
@@ -269,12 +286,17 @@ def _linked(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
         yield closed(key, fp)
 
 
+@common.scoped
 def links(fps: DataFrame, rows: int, distance: int = DISTANCE) -> DataFrame:
     """(a, b): links that join every two fingerprints within ``distance``, directly or
     through others. ``fps``: distinct fp."""
     sample = np.array([r["fp"] for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], dtype="i8").view("u8")
     parts = plan(sample, rows, distance) if len(sample) > 1 else [(list(range(BITS)), 0)]
     filed = fps.select("fp").mapInArrow(lambda b: _filed(b, parts), "key long, fp long")
+    large, _ = common.materialize(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), "large")
+    if large.limit(1).count():
+        again = filed.join(large, "key", "left_semi").select("key", "fp").mapInArrow(lambda b: _cut(b, distance), "key long, fp long")
+        filed = filed.join(large, "key", "left_anti").select("key", "fp").unionByName(again)
     found = filed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _linked(b, distance), "a long, b long")
     return found.distinct()
 
@@ -282,6 +304,7 @@ def links(fps: DataFrame, rows: int, distance: int = DISTANCE) -> DataFrame:
 # --- components
 
 
+@common.scoped
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(fp, component): for each node of an edge, the smallest ``id`` it reaches. ``nodes``:
     fp, id; ``edges``: a, b.
@@ -298,15 +321,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         # Large star: each node's larger neighbours move to its smallest neighbour.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") > F.col("v")).distinct()
+        least, least_path = common.materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        moved = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") > F.col("v"))
+        large, large_path = common.materialize(moved.distinct(), "star")
         # Small star: its smaller neighbours, and itself, move to the smallest.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") > F.col("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        after, new_path = common.materialize(small, "star")
+        low, low_path = common.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") > F.col("v"))
+        after, new_path = common.materialize(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "star")
         state = after.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        common.drop(spark, path)
+        common.drop(spark, path, least_path, large_path, low_path)
         now, path = after, new_path
         if before == state:
             break
@@ -315,6 +338,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rest.unionByName(now.select("v.fp", F.col("v.id").alias("component"))).distinct()
 
 
+@common.scoped
 def _named(made: DataFrame, distance: int) -> DataFrame:
     """(fp, component) for every fingerprint of ``made`` (fp, id), written out so that the
     join with rows can split a fingerprint that many share."""
@@ -328,6 +352,7 @@ def _id(column: str, *ties: str) -> Column:
     return F.struct(F.col(column).isNull().alias("none"), F.col(column).alias("id"), *ties)
 
 
+@common.scoped
 def group(docs: DataFrame, id_col: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """(doc, fp, component): each row with its fingerprint and the smallest id it reaches.
 
@@ -340,6 +365,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", distance: int = DISTANCE) ->
     return made.join(named, "fp", "left").select("doc", "fp", F.col("component.id").alias("component"))
 
 
+@common.scoped
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest id (the first of
     repeated rows). Texts are written once with their fingerprints; the rows to drop go
