@@ -4,9 +4,12 @@ import sys
 
 import pytest
 from conftest import rows
+from pyspark.sql import types as T
 
 from weftline.functions.predicates import Compare, Ref
-from weftline.sources.files import SubplanCache, from_rows, read_csv, read_parquet, to_rows, to_text, write_csv
+from weftline.operators.joins import estimated_bytes
+from weftline.sources.files import SubplanCache, from_rows, read_csv, read_parquet, shared_cache, to_rows, to_text, write_csv
+from weftline.streaming import append_available, parquet_stream
 
 SCHEMA = "a int, b string, c string"
 
@@ -52,15 +55,58 @@ def test_rows_and_text(spark):
     assert to_text(df) == "1|a\\|b\\\\\nNULL|x\\ny"
 
 
-def test_cache_reuses_equal_plans_only(spark):
-    cache = SubplanCache(most=1)
-    a = cache.get(spark.range(10).where("id > 3"))
-    assert cache.get(spark.range(10).where("id > 3")) is a and a.is_cached
-    b = cache.get(spark.range(10).where("id > 4"))
-    assert b is not a and not a.is_cached
+def test_subplan_cache(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.range(100).write.parquet(path)
+    read = lambda: spark.read.parquet(path).where("id > 10")
+    cache = SubplanCache()
+    first = cache.get(read())
+    assert cache.get(read()) is first and len(cache) == 1 and first.count() == 89
+    spark.range(1000).write.mode("overwrite").parquet(path)
+    assert cache.get(read()).count() == 989 and len(cache) == 2  # other files
     cache.clear()
-    assert not b.is_cached
-
+    assert not first.is_cached and len(cache) == 0
+    size = estimated_bytes(read())
+    small = SubplanCache(most_bytes=3 * size)
+    kept = [small.get(read().where(f"id > {k}")) for k in range(20, 26)]
+    assert small.bytes() <= 3 * size and not kept[0].is_cached and kept[-1].is_cached
+    small.clear()
+    assert not SubplanCache(most_bytes=1).get(read()).is_cached
+    assert shared_cache(spark) is shared_cache(spark)
+
+
+ODD_FIELDS = [(1, "a,b|c", None), (2, 'say "hi"', "x"), (None, "back\\slash", "end|"), (4, None, " padded ")]
+
+
+@pytest.mark.parametrize("trailing", [False, True])
+@pytest.mark.parametrize("escape", ['"', "\\"])
+@pytest.mark.parametrize("sep", [",", "|"])
+def test_csv_dialects(spark, tmp_path, sep, escape, trailing):
+    schema = T.StructType.fromDDL("k int, name string, note string")
+    df = spark.createDataFrame(ODD_FIELDS, schema)
+    dialect = {"sep": sep, "escape": escape, "trailing": trailing}
+    write_csv(df, str(tmp_path / "t"), **dialect)
+    for multiline in (False, True):
+        assert sorted(map(str, read_csv(spark, str(tmp_path / "t"), schema, multiline=multiline, **dialect).collect())) == sorted(map(str, df.collect()))
+
+
+def test_csv_files_by_hand(spark, tmp_path):
+    schema = T.StructType.fromDDL("k int, name string")
+    (tmp_path / "bars").write_text('1|"a ""b"" c"|\n2|x|\n')
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "bars"), schema, sep="|", escape='"', trailing=True).collect()] == [(1, 'a "b" c'), (2, "x")]
+    (tmp_path / "bad").write_text("1|a|\n2|b|c\n")
+    with pytest.raises(Exception, match="separator at the end"):
+        read_csv(spark, str(tmp_path / "bad"), schema, sep="|", trailing=True).collect()
+    with pytest.raises(ValueError):
+        read_csv(spark, str(tmp_path / "bad"), schema, escape="'")
+
+
+def test_streams(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for n in (10, 5):
+        spark.range(n).write.mode("append").parquet(path)
+        append_available(parquet_stream(spark, path, spark.range(1).schema, Compare(">=", Ref("t", "id"), 3)), out, str(tmp_path / "checkpoint"))
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [3, 3, 4, 4, 5, 6, 7, 8, 9]
 
 def test_entry_works_without_the_corpus_subpackage(tmp_path):
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -6,6 +6,7 @@ from conftest import rows
 from weftline.plans import explain_json
 from weftline.plans.catalog import JOB_COLUMNS, job_schema
 from weftline.plans.sqlfront import SqlError, execute, oracle_text, parse
+from weftline.sources.files import from_rows
 
 DATA = {
     "title": ([(1, "Alpha", 1999), (2, "Beta", 2005), (3, None, 2010), (4, "Delta", None)], "id int, title string, production_year int"),
@@ -98,3 +99,32 @@ def test_job_catalogue():
     assert len(JOB_COLUMNS) == 21
     assert sum(len(job_schema(t)) for t in JOB_COLUMNS) == 8 + 12 + 7 + 7 + 2 + 7 + 2 + 4 + 2 + 3 + 2 + 2 + 5 + 5 + 5 + 3 + 4 + 9 + 5 + 2 + 12
     assert job_schema("title")["production_year"].dataType.simpleString() == "int"
+
+
+def test_comments_and_strings():
+    columns = {"t": ["a", "b"]}.__getitem__
+    assert parse("SELECT a FROM t -- end", columns).entities == {"t": "t"}
+    assert parse("SELECT a -- t.b\nFROM t x --\nWHERE x.b = '-- not one'", columns).filters["x"].value == "-- not one"
+    with pytest.raises(SqlError):
+        parse("SELECT a FROM t WHERE b LIKE 5", columns)
+
+
+def test_functions_of_several_columns(spark):
+    df = spark.createDataFrame([(1, 2), (None, 3), (4, None)], "a int, b int")
+    query = parse("SELECT COUNT(a, b) AS n, COUNT(a) FROM t", lambda _: df.columns)
+    assert [tuple(r) for r in execute(query, lambda _: df).collect()] == [(1, 2)]
+    raw = execute(query, lambda _: df, mode="raw")
+    assert raw.count() == 3 and len(raw.columns) == 3
+    with pytest.raises(SqlError):
+        execute(parse("SELECT MIN(a, b) FROM t", lambda _: df.columns), lambda _: df)
+
+
+def test_a_single_row_needs_no_join(spark, tmp_path):
+    spark.range(50).selectExpr("id AS k", "id % 3 AS m").write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    frames = {"one": from_rows(spark, [(7, "x")], "k long, name string"), "nothing": from_rows(spark, [(None, "x")], "k long, name string"), "many": many}
+    for one, want in (("one", [("x", 7)]), ("nothing", [])):
+        for order in (f"{one} o, many m", f"many m, {one} o"):
+            df = execute(parse(f"SELECT o.name, m.k FROM {order} WHERE o.k = m.k", lambda t: frames[t].columns), frames.__getitem__)
+            assert [tuple(r) for r in df.collect()] == want
+            assert "Join" not in df._jdf.queryExecution().executedPlan().toString()

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Hashable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Taken where the session has broadcasting switched off.
-DEFAULT_BROADCAST_BYTES = 10 << 20
+#: The threshold where the session names none.
+DEFAULT_BROADCAST_BYTES = "10MB"
+#: Most bytes of one partition that a shuffled hash join may have to hold.
+HASHED_BYTES = 64 << 20
+#: From here on an estimate says that nothing is known.
+UNKNOWN_BYTES = 1 << 62
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -17,17 +22,51 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def broadcast_limit(df: DataFrame) -> int:
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", str(DEFAULT_BROADCAST_BYTES))
-    try:
-        return int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text))
-    except Exception:  # noqa: BLE001  -1: broadcasting is off
-        return -1
+    """The session's threshold in bytes; -1 if broadcasting is off. A setting that is neither
+    is an error."""
+    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", DEFAULT_BROADCAST_BYTES).strip()
+    if text.startswith("-"):
+        return max(-1, int(text.rstrip("bB")))
+    return int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text))
 
 
 def build_hint(df: DataFrame) -> DataFrame:
     """``df`` as the build side of a hash join: broadcast while its estimated size is within
-    the session's threshold, else a shuffled hash join."""
-    return F.broadcast(df) if estimated_bytes(df) <= broadcast_limit(df) else df.hint("shuffle_hash")
+    the session's threshold, else a shuffled hash join while a partition of it fits in memory.
+    A larger side is left to the optimiser, whose sort-merge join can spill. Rows of an RDD
+    have no estimate; there the plan's word is taken."""
+    size = estimated_bytes(df)
+    if size <= broadcast_limit(df):
+        return F.broadcast(df)
+    fits = size <= HASHED_BYTES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.hint("shuffle_hash") if fits or size >= UNKNOWN_BYTES else df
+
+
+#: Types whose values travel as literals.
+PLAIN = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType)
+
+
+def single_row(df: DataFrame) -> Row | None:
+    """The only row of ``df``, if its plan says that there can't be another (rows in memory, a
+    global aggregate, a limit) and its values are plain; nothing runs for any other frame."""
+    if df.isStreaming:
+        return None
+    most = df._jdf.queryExecution().optimizedPlan().maxRows()
+    if not most.isDefined() or int(str(most.get())) > 1 or not all(isinstance(f.dataType, PLAIN) for f in df.schema):
+        return None
+    found = df.collect()
+    return found[0] if found else None
+
+
+def join_single(row: Row, schema: T.StructType, many: DataFrame, keys: list[tuple[str, str]], first: bool) -> DataFrame:
+    """A join whose one side is ``row``: a filter on the other, which reaches its scan, and
+    constant columns. ``keys``: (column of the row, column of ``many``); a NULL matches nothing.
+    ``first``: whether the row's columns stand first."""
+    value = {f.name: F.lit(row[f.name]).cast(f.dataType) for f in schema}
+    for a, b in keys:
+        many = many.where(F.col(f"`{b}`") == value[a])
+    ours, theirs = [c.alias(n) for n, c in value.items()], [F.col(f"`{c}`") for c in many.columns]
+    return many.select(*ours, *theirs) if first else many.select(*theirs, *ours)
 
 
 def inner_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], build: str | None = None) -> DataFrame:

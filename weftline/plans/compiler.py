@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.predicates import by_name
-from weftline.operators.joins import build_hint
-from weftline.plans.nodes import Join, Plan, PlanError
+from weftline.operators.joins import build_hint, join_single, single_row
+from weftline.plans.nodes import Join, Plan, PlanError, Scan
 
 
 def compile_plan(plan: Plan, names: list[str] | None = None, hints: bool = True) -> DataFrame:
@@ -39,9 +39,15 @@ def compile_plan(plan: Plan, names: list[str] | None = None, hints: bool = True)
         left, right = ([F.col(c).alias(f"j{number}{side}_{i}") for i, c in enumerate(node(child).columns)] for side, child in (("l", join.left), ("r", join.right)))
         left, right = node(join.left).select(*left), node(join.right).select(*right)
         on = reduce(lambda a, b: a & b, (F.col(left.columns[a]) == F.col(right.columns[b]) for a, b in join.keys))
+        both = [*left.columns, *right.columns]
+        for first, one, many in ((True, left, right), (False, right, left)):
+            # A scan of a single row, on the build side or where none is given, needs no join.
+            if hints and join.build_left in (first, None) and isinstance(plan.nodes[join.left if first else join.right], Scan) and (row := single_row(one)):
+                keys = [(one.columns[a if first else b], many.columns[b if first else a]) for a, b in join.keys]
+                made = join_single(row, one.schema, many, keys, first)
+                return made.select(*[F.col(both[c]).alias(f"n{number}_c{i}") for i, c in enumerate(join.outputs)])
         if hints and join.build_left is not None:
             left, right = (build_hint(left), right) if join.build_left else (left, build_hint(right))
-        both = [*left.columns, *right.columns]
         return left.join(right, on, "inner").select(*[F.col(both[c]).alias(f"n{number}_c{i}") for i, c in enumerate(join.outputs)])
 
     out = node(plan.root)

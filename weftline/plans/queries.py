@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from weftline.plans.catalog import parquet_tables
 from weftline.plans.compiler import compile_plan
 from weftline.plans.nodes import Plan
 from weftline.plans.sqlfront import execute, oracle_text, parse
-from weftline.sources.files import SubplanCache, from_rows, read_csv, read_parquet, write_csv
+from weftline.sources.files import from_rows, read_csv, read_parquet, shared_cache, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,14 +50,29 @@ def scan_project(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
 def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """A table through CSV and back. The folder is the session's shared one where it has one."""
-    df = parquet_tables(spark, d)("supplier")
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{shared.rstrip('/')}/weftline-csv-{abs(hash(d))}" if shared else tempfile.mkdtemp(prefix="weftline-csv-")
+    """A table through CSV and back."""
+    df, path = parquet_tables(spark, d)("supplier"), shared_folder(spark, "csv", d)
     write_csv(df, path)
     return read_csv(spark, path, df.schema, Compare(">", Ref("supplier", "s_acctbal"), 0))
 
 
+@query("SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders WHERE o_orderstatus = 'F'")
+def csv_dialect(spark: SparkSession, d: str) -> DataFrame:
+    """Bars, doubled quotes and a separator at the end of each line; files are split."""
+    df, path = parquet_tables(spark, d)("orders").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_orderstatus"), shared_folder(spark, "bars", d)
+    dialect = {"sep": "|", "escape": '"', "trailing": True}
+    write_csv(df, path, **dialect)
+    return read_csv(spark, path, df.schema, Compare("=", Ref("orders", "o_orderstatus"), "F"), multiline=False, **dialect).drop("o_orderstatus")
+
+
+def shared_folder(spark: SparkSession, name: str, d: str) -> str:
+    """A folder that driver and executors share: the session's, or one of our own on a local master."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext._jsc.isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or tempfile.gettempdir()).rstrip('/')}/weftline-{name}-{md5(d.encode()).hexdigest()[:12]}"
+
+
 @query("SELECT * FROM (VALUES (1, 'one'), (2, 'two'), (3, 'three')) AS a(k, name) JOIN (VALUES (1, 10.5), (1, 11.5), (4, 40.5)) AS b(k2, v) ON k = k2".replace("SELECT *", "SELECT k, name, CAST(v AS DOUBLE) AS v"))
 def inline_rows_join(spark: SparkSession, d: str) -> DataFrame:
     a = from_rows(spark, [(1, "one"), (2, "two"), (3, "three")], "k int, name string")
@@ -139,6 +155,17 @@ def join_build_right(spark: SparkSession, d: str) -> DataFrame:
     return two_way(spark, d, False)
 
 
+@query("SELECT 'seven' AS label, c_custkey, c_name FROM customer WHERE c_nationkey = 7")
+def join_single_row_auto(spark: SparkSession, d: str) -> DataFrame:
+    """Nobody says that one side is a single row: its plan does, and the join becomes a filter
+    that reaches the other side's scan."""
+    c, plan = parquet_tables(spark, d)("customer"), Plan()
+    one = plan.scan(plan.add_input(from_rows(spark, [(7, "seven")], "k int, label string")), [0, 1])
+    many = plan.scan(plan.add_input(c), positions(c, "c_nationkey", "c_custkey", "c_name"))
+    plan.join(one, many, [(0, 0)], [1, 3, 4], None)
+    return compile_plan(plan, ["label", "c_custkey", "c_name"])
+
+
 @query("SELECT n_name, c_custkey, c_name FROM nation, customer WHERE n_nationkey = c_nationkey AND n_nationkey = 7")
 def join_single_row(spark: SparkSession, d: str) -> DataFrame:
     """One row on one side: it is broadcast, and its key also filters the other side."""
@@ -212,6 +239,8 @@ by_sql("join_transitive", "SELECT n.n_name AS n_name, c.c_custkey AS c_custkey,
 by_sql("join_multi_key", "SELECT c.c_custkey AS c_custkey, s.s_suppkey AS s_suppkey, n.n_name AS n_name FROM customer c, supplier s, nation n WHERE c.c_custkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey AND n.n_nationkey = s.s_nationkey")
 by_sql("join_residual_or", "SELECT c.c_custkey AS c_custkey, n.n_name AS n_name FROM customer c, nation n WHERE c.c_nationkey = n.n_nationkey AND (c.c_acctbal > 9000 OR n.n_regionkey = 1)")
 by_sql("filter_pushdown_join", "SELECT c_name, o_orderkey, l_extendedprice FROM customer, orders, lineitem WHERE c_custkey = o_custkey AND o_orderkey = l_orderkey AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND o_orderpriority LIKE '1%' AND l_discount BETWEEN 0.02 AND 0.05 AND l_returnflag <> 'R'")
+by_sql("sql_multi_arg", "SELECT MIN(c.c_custkey, c.c_name), COUNT(o.o_orderkey) FROM customer c, orders o WHERE c.c_custkey = o.o_custkey AND o.o_orderstatus = 'F' -- columns of both", mode="raw", oracle="SELECT c.c_custkey, c.c_name, o.o_orderkey FROM customer c, orders o WHERE c.c_custkey = o.o_custkey AND o.o_orderstatus = 'F'")
+by_sql("sql_count_pairs", "SELECT COUNT(c.c_custkey, o.o_orderkey) AS n FROM customer c, orders o WHERE c.c_custkey = o.o_custkey", oracle="SELECT COUNT(*) AS n FROM customer c, orders o WHERE c.c_custkey = o.o_custkey")
 RAW = "SELECT MIN(c.c_name) AS first_name, MIN(o.o_totalprice) AS price FROM customer c, orders o WHERE c.c_custkey = o.o_custkey AND o.o_orderstatus = 'F'"
 by_sql("sql_two_way", RAW, mode="raw", oracle="SELECT c.c_name AS first_name, o.o_totalprice AS price FROM customer c, orders o WHERE c.c_custkey = o.o_custkey AND o.o_orderstatus = 'F'")
 by_sql("job_like_min", "SELECT MIN(n.n_name) AS nation, MIN(c.c_name) AS customer, MIN(o.o_totalprice) AS price, MIN(s.s_name) AS supplier FROM nation n, customer c, orders o, lineitem l, supplier s WHERE n.n_nationkey = c.c_nationkey AND c.c_custkey = o.o_custkey AND o.o_orderkey = l.l_orderkey AND l.l_suppkey = s.s_suppkey AND (c.c_mktsegment = 'BUILDING' OR c.c_mktsegment LIKE 'M%') AND l.l_quantity BETWEEN 5 AND 45 AND s.s_name IS NOT NULL AND o.o_orderstatus <> 'P'")
@@ -234,7 +263,7 @@ def imported_plan(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT a.n_name AS n_name, a.c_custkey AS c_custkey, b.c_custkey AS other FROM (SELECT n_name, n_nationkey, c_custkey FROM nation, customer WHERE n_nationkey = c_nationkey AND c_acctbal > 9000) a, (SELECT n_nationkey, c_custkey FROM nation, customer WHERE n_nationkey = c_nationkey AND c_acctbal > 9000) b WHERE a.n_nationkey = b.n_nationkey")
 def cached_subplan(spark: SparkSession, d: str) -> DataFrame:
     """The same subplan twice; the second is answered from the cache."""
-    cache, t = SubplanCache(), parquet_tables(spark, d)
+    cache, t = shared_cache(spark), parquet_tables(spark, d)
 
     def sub() -> DataFrame:
         return cache.get(inner_join(t("nation"), t("customer").where("c_acctbal > 9000"), [("n_nationkey", "c_nationkey")]).select("n_name", "n_nationkey", "c_custkey"))
@@ -245,4 +274,16 @@ def cached_subplan(spark: SparkSession, d: str) -> DataFrame:
     return compile_plan(plan, ["n_name", "c_custkey", "other"])
 
 
+@query("SELECT n_regionkey, COUNT(*) AS n, MIN(c_name) AS first_name FROM nation, customer WHERE n_nationkey = c_nationkey AND c_acctbal > 9500 GROUP BY n_regionkey")
+def cached_across_queries(spark: SparkSession, d: str) -> DataFrame:
+    """A build side that an earlier query has cached is answered from there."""
+
+    def sub() -> DataFrame:
+        t = parquet_tables(spark, d)
+        return shared_cache(spark).get(inner_join(t("nation"), t("customer").where("c_acctbal > 9500"), [("n_nationkey", "c_nationkey")]).select("n_regionkey", "c_name"))
+
+    sub().count()  # the earlier query
+    return sub().groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), F.min("c_name").alias("first_name"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "oracle_text"]
