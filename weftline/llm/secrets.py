@@ -25,6 +25,7 @@ hot texts or sources make no difference.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,28 +73,44 @@ def _running(lengths: Column) -> Column:
     return let(cut, joined)
 
 
-def _spans(text: Column, pattern: str, kind: str) -> Column:
-    """(start, kind, end) of each leftmost match, in code points: a match starts after the
-    gaps and matches before it."""
+def _placed(text: Column, pattern: str, kind: str, found: Column) -> Column:
+    """(start, kind, end) of each of the matches ``found``, in code points: a match starts
+    after the gaps and matches before it."""
     place = F.lit(KINDS.index(kind))
+    gaps = F.slice(F.split(text, pattern), F.lit(1), F.size(found))
+    both = F.zip_with(found, gaps, lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("match")))
+
+    def ends(sizes: Column) -> Column:
+        before = let(F.transform(sizes, lambda s: s["gap"] + s["match"]), _running)
+        return F.zip_with(before, sizes, lambda b, s: F.struct((b + s["gap"]).alias("start"), place.alias("kind"), (b + s["gap"] + s["match"]).alias("end")))
+
+    return let(both, ends)
+
 
-    def placed(gaps: Column, found: Column) -> Column:
-        both = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("match")))
+def _matched(text: Column, pattern: str, body: Callable[[Column], Column]) -> Column:
+    """``body`` of all leftmost matches; null if there is none. A text without a match is
+    searched once, any other twice."""
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, body(found)))
+
+
+def _spans(text: Column, pattern: str, kind: str) -> Column:
+    """(start, kind, end) of each leftmost match; of assignments, those of values long enough."""
 
-        def ends(sizes: Column) -> Column:
-            before = _running_of(sizes)
-            return F.zip_with(before, sizes, lambda b, s: F.struct((b + s["gap"]).alias("start"), place.alias("kind"), (b + s["gap"] + s["match"]).alias("end")))
+    def at(found: Column) -> Column:
+        placed = _placed(text, pattern, kind, found)
+        if kind != "assign":
+            return placed
+        value = lambda m: F.regexp_extract(m, pattern, 1)
+        judged = F.zip_with(placed, found, lambda s, m: F.struct(s.alias("s"), (F.length(value(m)) >= 6).alias("ok")))
+        return F.transform(F.filter(judged, lambda x: x["ok"]), lambda x: x["s"])
 
-        return let(both, ends)
+    return F.coalesce(_matched(text, pattern, at), F.array().cast(SPANS))
 
-    def _running_of(sizes: Column) -> Column:
-        return let(F.transform(sizes, lambda s: s["gap"] + s["match"]), _running)
 
-    at = let(F.split(text, pattern), lambda gaps: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: placed(gaps, found)))
-    if kind == "assign":
-        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        at = F.transform(F.filter(F.zip_with(at, value, lambda s, v: F.struct(s.alias("s"), (F.length(v) >= 6).alias("ok"))), lambda x: x["ok"]), lambda x: x["s"])
-    return F.when(text.rlike(pattern), at).otherwise(F.array().cast(SPANS))
+def _tokens(text: Column) -> Column:
+    """(start, end, token) of each candidate; null if there is none."""
+    named = lambda s, m: F.struct(s["start"].alias("start"), s["end"].alias("end"), m.alias("token"))
+    return _matched(text, CANDIDATE, lambda found: F.zip_with(_placed(text, CANDIDATE, "random", found), found, named))
 
 
 def _overlaps(spans: Column, start: Column, end: Column) -> Column:
@@ -182,9 +199,7 @@ def scan(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     kept = [c for c in docs.columns if keep_text or c != "text"]
     base = F.array_sort(F.concat(_spans(text, ASSIGN, "assign"), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), text.alias("text"), base.alias("base"))
-    found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
-    spans = _spans(F.col("text"), CANDIDATE, "random")
-    rows = rows.select("doc", "base", F.when(F.size(spans) > 0, F.filter(F.zip_with(spans, found, lambda s, m: F.struct(s["start"].alias("start"), s["end"].alias("end"), m.alias("token"))), lambda c: ~_overlaps(F.col("base"), c["start"], c["end"]))).alias("tokens"))
+    rows = rows.select("doc", "base", F.filter(_tokens(F.col("text")), lambda c: ~_overlaps(F.col("base"), c["start"], c["end"])).alias("tokens"))
     judged = F.transform("tokens", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _judged(c["token"]).alias("judged")))
     tested, _ = common.materialize(rows.select("doc", "base", judged.alias("candidates")), "tested")
     least = _step_up(tested)
