@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from conftest import rows
@@ -128,3 +129,30 @@ def test_a_single_row_needs_no_join(spark, tmp_path):
             df = execute(parse(f"SELECT o.name, m.k FROM {order} WHERE o.k = m.k", lambda t: frames[t].columns), frames.__getitem__)
             assert [tuple(r) for r in df.collect()] == want
             assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_statistics_order_joins(spark):
+    """With statistics of all tables, the selective join comes first, whatever FROM says."""
+    made = {
+        "cbo_a": spark.range(2000).selectExpr("id AS k", "id % 5 AS g"),
+        "cbo_b": spark.range(2000).selectExpr("id AS k", "id % 5 AS g", "id AS one"),
+        "cbo_c": spark.range(3).selectExpr("id AS one", "cast(id AS string) AS name"),
+    }
+    text = "SELECT a.k AS k, c.name AS name FROM cbo_a a, cbo_b b, cbo_c c WHERE a.g = b.g AND b.one = c.one"
+    try:
+        for name, df in made.items():
+            df.write.mode("overwrite").saveAsTable(name)
+        got = {}
+        for known in (False, True):
+            if known:
+                for name in made:
+                    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
+            df = execute(parse(text, lambda t: spark.table(t).columns), spark.table)
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            depth = {t: line.index("Relation") for line in plan.splitlines() for t in re.findall(r"Relation spark_catalog.default.cbo_([abc])", line)}
+            got[known] = {t for t, d in depth.items() if d > min(depth.values())}, rows(df)
+        assert got[False][1] == got[True][1] and len(got[True][1]) == 1200
+        assert got[False][0] == {"a", "b"} and got[True][0] == {"b", "c"}  # those joined first
+    finally:
+        for name in made:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
