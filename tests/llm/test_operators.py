@@ -445,6 +445,66 @@ def tiny_model(seed=0):
     return lm_scores.fit(lm_scores.counted_model(compact, cls, counts), docs, steps=20), docs
 
 
+def test_attention_is_fitted_on_all_documents(spark, monkeypatch):
+    """The weights of a word that only documents outside the sample hold are fitted, in each of
+    several tasks; with no sample's start, attention learns from the rest alone."""
+    monkeypatch.setattr(lm_scores, "SHARE", 1)
+    made, whole = {}, lm_scores.fit_all
+    monkeypatch.setattr(lm_scores, "fit", lambda model, docs, seed=0: model)
+    monkeypatch.setattr(lm_scores, "_sample", lambda docs: [])
+    monkeypatch.setattr(lm_scores, "fit_all", lambda model, ids, windows: made.update(before=model, tasks=ids.rdd.getNumPartitions(), after=whole(model, ids, windows)) or made["after"])
+    texts = [f"{w} is here and {w} was there" for w in ("alpha", "river", "stone", "table")] * 10
+    lm_scores.score(table(spark, texts).repartition(4), common.F.lit(True))
+    before, after = made["before"], made["after"]
+    every = np.unique(np.concatenate(lm_scores.ids_of([lm_scores.words_of(t) for t in texts], tokenization.default_path())))
+    met = after.compact[every]
+    for name in ("key", "value"):
+        assert (getattr(before, name)[met] != getattr(after, name)[met]).any(axis=1).all()
+    assert made["tasks"] > 1 and not np.array_equal(before.out, after.out)
+    rest = np.setdiff1d(np.arange(lm_scores.TOKENS + 1), met)
+    assert np.array_equal(before.value[rest], after.value[rest])
+
+
+def test_a_pass_meets_every_window_with_its_gradient(monkeypatch):
+    """Against differences of ``Model.scores``, however documents are dealt over steps."""
+    monkeypatch.setattr(lm_scores, "DRAWN", 300)
+    m, docs = tiny_model(2)
+    own, sums = lm_scores.Attention(m, 10), [np.zeros_like(p) for p in lm_scores.Attention(m, 0).params]
+    add = lm_scores.Attention.add_gradients
+    monkeypatch.setattr(lm_scores.Attention, "add_gradients", lambda self, x, y, _: add(self, x, y, sums) if (y >= 0).any() else None)
+    monkeypatch.setattr(lm_scores.Attention, "_adam", lambda self, grads: None)
+    own.learn(np.concatenate(docs))
+    assert own.learnt == sum(map(len, docs))
+
+    def loss(**changed):
+        return -lm_scores.replace(m, **changed).scores(docs).sum() * np.log(10)
+
+    busy = int(m.compact[np.bincount(np.concatenate(docs)[np.concatenate(docs) != lm_scores.END]).argmax()])
+    places = [("query", (busy, 3)), ("key", (busy, 5)), ("value", (busy, 7)), ("out", (2, 9)), ("near", (4,)), ("near", (20,))]
+    vectors = dict(zip(("query", "key", "value"), np.split(sums[0], 3, axis=1), strict=True)) | {"out": sums[1], "near": sums[2]}
+    for name, at in places:
+        both = []
+        for by in (0.02, -0.02):
+            p = getattr(m, name).copy()
+            p[at] += by
+            both.append(loss(**{name: p}))
+        assert vectors[name][at] == pytest.approx((both[0] - both[1]) / 0.04, rel=0.03, abs=0.02), name
+
+
+def test_weights_are_averaged_by_how_often_a_row_was_met():
+    m, docs = tiny_model(3)
+    parts = [lm_scores.Attention(m, 5) for _ in range(2)]
+    for part, own in zip(parts, (docs[:30], docs[30:]), strict=True):
+        part.learn(np.concatenate(own))
+    flat = [np.concatenate([p.ravel() for p in part.weighed()]) for part in parts]
+    got = parts[0].averaged(flat[0] + flat[1])
+    met = np.array([p.met for p in parts], "f8")[:, :, None]
+    some = met.sum(axis=0)[:, 0] > 0
+    want = (met * np.array([p.params[0] for p in parts])).sum(axis=0)[some] / met.sum(axis=0)[some]
+    assert np.allclose(np.hstack([got.query, got.key, got.value])[some], want, atol=1e-5)
+    assert np.allclose(got.out, np.average([p.params[1] for p in parts], axis=0, weights=[p.learnt for p in parts]), atol=1e-5)
+
+
 def test_batched_windows_equal_one_position_at_a_time():
     m, docs = tiny_model()
     got = m.scores(docs[:6])

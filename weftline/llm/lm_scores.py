@@ -17,8 +17,12 @@ documents make one batch, under one causal mask.
 
 What is gathered over all training documents: word counts (for the base score), subword
 counts (the most frequent have rows), counts of their neighbours (from which k-means makes
-the classes), and counts of neighbouring subwords and classes. What is fitted on a bounded
-sample (``SAMPLE`` documents): the weights of attention (Adam).
+the classes), and counts of neighbouring subwords and classes. The weights of attention are
+fitted (Adam) on every window of all training documents: the driver makes a start on a few
+(``SAMPLE``), from which each task goes on with all of its own in one pass. The weights of a row
+are then averaged over tasks in proportion to how often each met the row, those of the output
+and the distances in proportion to the ids learnt. A task has ``SHARE`` windows at least, so
+steps grow with the corpus, and what it hands on doesn't.
 
 Scale: texts are read once, in a narrow pass that writes their ids (which later passes read,
 the last one spelling the words again). Word counts meet by word, summed within each task first. For
@@ -33,7 +37,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from itertools import compress, repeat
 
@@ -54,9 +58,13 @@ TOKENS, CLASSES, WIDTH = 4096, 64, 16
 NEAR = 512
 STRIDE = 16
 CONTEXT = 2 * STRIDE  # a window is two units
-#: Documents that attention is fitted on, windows of one document at most,
-#: and steps of Adam.
+#: Documents on which the driver makes a start at fitting attention, windows of one document
+#: at most, and steps of Adam.
 SAMPLE, SAMPLE_WINDOWS, STEPS, BATCH, RATE = 3000, 256, 1500, 128, 0.01
+#: Windows that a task fits attention on at least (if there are as many), windows of one of its
+#: steps, windows in a row within a step, such runs computed together, ids held for drawing, and the
+#: rate of its first step. Changes of weights are summed in whole 1 / UNIT, whatever the order.
+SHARE, STEP, RUN, TOGETHER, DRAWN, RATE_ALL, UNIT = 1 << 19, 512, 8, 32, 1 << 20, 0.003, 1 << 20
 #: The most frequent subwords whose pairs are counted one by one, and the weight of the
 #: coarser share in each finer one.
 PAIRS, PAIR_WEIGHT, CLASS_WEIGHT = 1024, 10, 20
@@ -368,7 +376,7 @@ def counted_model(compact: np.ndarray, cls: np.ndarray, counts: Counts, seed: in
 
 def fit(model: Model, docs: list[np.ndarray], seed: int = 0, steps: int = STEPS) -> Model:
     """Fit queries, keys, values, the output and the distances by Adam, on windows of the
-    sampled documents (evenly spread over a long one)."""
+    sampled documents (evenly spread over a long one): the start that tasks go on from."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     for d in docs:
@@ -414,6 +422,118 @@ def fit(model: Model, docs: list[np.ndarray], seed: int = 0, steps: int = STEPS)
     return model
 
 
+class Attention:
+    """Attention in the course of being fitted, by Adam, to a stream of documents. They lie
+    end to end as in ``Model.scores``; a step takes ``STEP`` windows, in runs of ``RUN`` from
+    places drawn at random, and every window is in one step."""
+
+    def __init__(self, model: Model, steps: int, seed: int = 0):
+        self.model, self.steps, self.rng = model, steps, np.random.default_rng(seed)
+        self.params = [np.hstack([model.query, model.key, model.value]), model.out.copy(), model.near.copy()]
+        self.start = [p.copy() for p in self.params]
+        self.first, self.second = ([np.zeros_like(p) for p in self.params] for _ in range(2))
+        self.shares, self.step = np.exp(model.after), 0
+        self.met, self.learnt = np.zeros(TOKENS + 1, "i8"), 0  # how often each row, and how many ids
+
+    def learn(self, d: np.ndarray) -> None:
+        """Learn documents that lie end to end, about ``DRAWN`` ids at once."""
+        ends = np.flatnonzero(d == END) + 1
+        last = np.flatnonzero(np.diff(ends // DRAWN, append=ends[-1:] // DRAWN + 1))
+        for own in np.split(d, ends[last[:-1]]):
+            self._learn(own)
+
+    def _learn(self, ids: np.ndarray) -> None:
+        start = np.r_[0, np.flatnonzero(ids[:-1] == END) + 1]
+        sizes = np.diff(start, append=len(ids))
+        before = np.r_[ids[:1], ids[:-1]]
+        before[start] = END
+        units = 1 - (-sizes // STRIDE)
+        first = (np.cumsum(units) - units + 1) * STRIDE
+        place = np.arange(len(ids)) + np.repeat(first - start, sizes)
+        runs = -(-(int(units.sum()) - 1) // RUN)
+        rows, cls = np.full((runs * RUN + 1) * STRIDE, self.model.compact[END], "u2"), np.full((runs * RUN + 1) * STRIDE, -1, "i2")
+        rows[place], cls[place] = self.model.compact[before], self.model.cls[ids]
+        x, y = np.lib.stride_tricks.sliding_window_view(rows, (RUN + 1) * STRIDE)[:: RUN * STRIDE], cls[STRIDE:].reshape(runs, RUN * STRIDE)
+        for some in np.array_split(self.rng.permutation(runs), -(-runs * RUN // STEP)):
+            real, sums = max(1, np.count_nonzero(y[some] >= 0)), [np.zeros_like(p) for p in self.params]
+            for at in range(0, len(some), TOGETHER):
+                self.add_gradients(x[some[at : at + TOGETHER]], y[some[at : at + TOGETHER]], sums)
+            self._adam([s / np.float32(real) for s in sums])
+        self.met += np.bincount(rows, minlength=TOKENS + 1)
+        self.learnt += len(ids)
+
+    def add_gradients(self, x: np.ndarray, y: np.ndarray, sums: list[np.ndarray]) -> None:
+        """Those of the summed loss of classes, by the vectors of each row, the output and the
+        distances. ``x``: rows in runs, after a unit of context; ``y``: classes, -1 for none."""
+        (vectors, out, _), n = self.params, len(x)
+        v = vectors[x]
+        lines = (v.strides[0], STRIDE * v.strides[1], *v.strides[1:])
+        view = np.lib.stride_tricks.as_strided
+        q = view(v[:, STRIDE:, :WIDTH], (n, RUN, STRIDE, WIDTH), lines)
+        k, value = (view(v[:, :, at : at + WIDTH], (n, RUN, CONTEXT, WIDTH), lines) for at in (WIDTH, 2 * WIDTH))
+        w = q @ k.swapaxes(2, 3)
+        w += self.bias()
+        np.exp(w, out=w)
+        w /= w.sum(axis=3, keepdims=True)
+        mixed = w @ value
+        flat = mixed.reshape(-1, WIDTH)
+        p = flat @ out
+        np.exp(p, out=p)
+        p *= self.shares[x[:, STRIDE:].ravel()]
+        real = y.ravel() >= 0
+        p *= (real / np.einsum("ij->i", p))[:, None]
+        p.ravel()[np.flatnonzero(real) * CLASSES + y.ravel()[real]] -= 1
+        d_flat = p @ out.T
+        d_mixed = d_flat.reshape(mixed.shape)
+        d_s = d_mixed @ value.swapaxes(2, 3)
+        d_s -= np.einsum("ij,ij->i", d_flat, flat).reshape(n, RUN, STRIDE, 1)
+        d_s *= w
+        g = np.zeros_like(v)
+        g[:, STRIDE:, :WIDTH] = (d_s @ k).reshape(n, -1, WIDTH)
+        for at, d in ((WIDTH, d_s.swapaxes(2, 3) @ q), (2 * WIDTH, w.swapaxes(2, 3) @ d_mixed)):  # a unit is in two windows
+            g[:, :-STRIDE, at : at + WIDTH] += d[:, :, :STRIDE].reshape(n, -1, WIDTH)
+            g[:, STRIDE:, at : at + WIDTH] += d[:, :, STRIDE:].reshape(n, -1, WIDTH)
+        order = np.argsort(x, axis=None, kind="stable")
+        rows = x.ravel()[order]
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        sums[0][rows[first]] += np.add.reduceat(g.reshape(-1, 3 * WIDTH)[order], first, axis=0)
+        sums[1] += flat.T @ p
+        back = np.arange(STRIDE)[:, None] + CONTEXT - STRIDE - np.arange(CONTEXT)[None, :]
+        sums[2] += np.bincount(back[back >= 0], weights=d_s.sum(axis=(0, 1))[back >= 0], minlength=CONTEXT).astype("f4")
+
+    def weighed(self) -> list[np.ndarray]:
+        """By how much the weights have changed, in whole ``1 / UNIT``, times how often their
+        row was met or how many ids were learnt; and these numbers."""
+        n = np.array([self.learnt])
+        change = (UNIT * (p.astype("f8") - start) for p, start in zip(self.params, self.start, strict=True))
+        return [*(np.rint(c * by).astype("i8") for c, by in zip(change, (self.met[:, None], n, n), strict=True)), self.met, n]
+
+    def averaged(self, sums: np.ndarray) -> Model:
+        """The model with what ``weighed`` gave, summed over tasks."""
+        *change, met, n = np.split(sums, np.cumsum([p.size for p in self.weighed()])[:-1])
+        parts = zip(self.start, change, (met[:, None], n, n), strict=True)
+        vectors, out, near = ((p + c.reshape(p.shape) / (UNIT * np.maximum(1, by))).astype("f4") for p, c, by in parts)
+        query, key, value = (np.ascontiguousarray(v) for v in np.split(vectors, 3, axis=1))
+        return replace(self.model, query=query, key=key, value=value, out=out, near=near)
+
+    def bias(self) -> np.ndarray:
+        back = np.arange(STRIDE)[:, None] + CONTEXT - STRIDE - np.arange(CONTEXT)[None, :]
+        return np.where(back >= 0, self.params[2][np.clip(back, 0, CONTEXT - 1)], np.float32(-1e9)).astype("f4")
+
+    def _adam(self, grads: list[np.ndarray]) -> None:
+        self.step += 1
+        rate = RATE_ALL * max(0.1, 1 - self.step / (self.steps + 1)) * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
+        for p, first, second, g in zip(self.params, self.first, self.second, grads, strict=True):
+            first += np.float32(0.1) * (g - first)
+            g *= g
+            second += np.float32(0.001) * (g - second)
+            np.sqrt(second, out=g)
+            g += np.float32(1e-8)
+            np.divide(first, g, out=g)
+            g *= np.float32(rate)
+            p -= g
+
+
 # --- over the corpus
 
 
@@ -452,12 +572,12 @@ def _gathered(batches: Iterator[pa.RecordBatch], path: str, doc_type: pa.DataTyp
     yield counted(pa.nulls(len(some), pa.binary()), pa.array(some, pa.int64()), pa.array(total[some], pa.int64()))
 
 
-def _cells(batches: Iterator[pa.RecordBatch], parts: list[np.ndarray], add: Callable[[np.ndarray], None]) -> Iterator[pa.RecordBatch]:
-    """(cell, n) of all that ``add`` counts into ``parts``, summed within the task."""
+def _cells(batches: Iterator[pa.RecordBatch], parts: Callable[[], list[np.ndarray]], add: Callable[[np.ndarray], None]) -> Iterator[pa.RecordBatch]:
+    """(cell, n) of all that ``add`` makes of ``parts``, summed within the task."""
     for batch in batches:
         if batch.num_rows:
             add(np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in batch.column("ids")]))
-    flat = np.concatenate([p.ravel() for p in parts])
+    flat = np.concatenate([p.ravel() for p in parts()])
     some = np.flatnonzero(flat)
     for at in range(0, len(some), 1 << 18):
         yield pa.RecordBatch.from_arrays([pa.array(some[at : at + (1 << 18)], pa.int64()), pa.array(flat[some[at : at + (1 << 18)]], pa.int64())], names=["cell", "n"])
@@ -465,12 +585,27 @@ def _cells(batches: Iterator[pa.RecordBatch], parts: list[np.ndarray], add: Call
 
 def _near(batches: Iterator[pa.RecordBatch], compact: np.ndarray) -> Iterator[pa.RecordBatch]:
     near = np.zeros((2, TOKENS, NEAR), "i8")
-    return _cells(batches, [near], lambda d: add_neighbours(near, d, compact))
+    return _cells(batches, lambda: [near], lambda d: add_neighbours(near, d, compact))
 
 
 def _counted(batches: Iterator[pa.RecordBatch], compact: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
     counts = Counts.empty()
-    return _cells(batches, counts.parts(), lambda d: counts.add(d, compact, cls))
+    return _cells(batches, counts.parts, lambda d: counts.add(d, compact, cls))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch], model: Model, steps: int) -> Iterator[pa.RecordBatch]:
+    own = Attention(model, steps)
+    return _cells(batches, own.weighed, own.learn)
+
+
+def fit_all(model: Model, ids: DataFrame, windows: int) -> Model:
+    """Fit attention on all documents of ``ids``, which have about so many windows: each task
+    from ``model``, on all of its own."""
+    tasks = max(1, min(ids.rdd.getNumPartitions(), windows // SHARE))
+    steps, whole = windows // tasks // STEP, Attention(model, 0)
+    shared = ids.sparkSession.sparkContext.broadcast(model)
+    cells = ids.coalesce(tasks).mapInArrow(lambda b: _fitted(b, shared.value, steps), "cell long, n long")
+    return whole.averaged(_summed(cells, sum(p.size for p in whole.weighed())))
 
 
 def _summed(cells: DataFrame, size: int) -> np.ndarray:
@@ -575,7 +710,7 @@ def score(docs: DataFrame, training: Column, tokenizer_path: str | None = None,
     sizes = [len(p) for p in Counts.empty().parts()]
     flat = _summed(ids.mapInArrow(lambda b: _counted(b, compact, cls), "cell long, n long"), sum(sizes))
     known = Counts(*np.split(flat, np.cumsum(sizes)[:-1]))
-    model = fit(counted_model(compact, cls, known, seed), drawn, seed)
+    model = fit_all(fit(counted_model(compact, cls, known, seed), drawn, seed), ids, int(total.sum() // STRIDE + total[END]))
     totals, ends = words.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first(), int(known.ids[END])
     train_tokens, distinct = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
     top = _frequent(words).toArrow()
