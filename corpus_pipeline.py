@@ -38,8 +38,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard of 5-word shingles 0.8 or more)
-    stays: that of the smallest id."""
+    """One document of each group of near copies (Jaccard of 5-word shingles 0.8 or more, as
+    SimHash and min-hash propose and whole sets decide) stays: that of the smallest id."""
     return near_copies.deduplicate(docs)
 
 

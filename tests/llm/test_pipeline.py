@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -101,6 +102,37 @@ def test_near_copies_at_the_threshold(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == sorted({root(i) for i in range(len(texts))})
 
 
+def test_fingerprints_propose_and_sets_decide(spark, monkeypatch):
+    """With no min-hash at all, pairs within the distance of fingerprints still meet, and only
+    those at 0.8 link: pairs of one text each, and texts of one fingerprint."""
+    rng = random.Random(11)
+    texts, gone, apart, within = [], set(), 0, 0
+    while apart < 5 or within < 25:
+        words = [f"w{rng.randrange(9000)}" for _ in range(200)]
+        other = list(words)
+        for at in rng.sample(range(0, 200, 5), rng.choice([1, 2, 3, 6, 7])):
+            other[at] = f"x{rng.randrange(9000)}"
+        a, b = (near_copies.shingles(" ".join(w)) for w in (words, other))
+        alike = 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b))
+        near = np.bitwise_count((near_copies.fingerprint(a) ^ near_copies.fingerprint(b)).view("u8")).item() <= near_copies.DISTANCE
+        if not near or (within if alike else apart) >= 25:
+            continue
+        within, apart = within + alike, apart + (not alike)
+        texts += [" ".join(words), " ".join(other)]
+        if alike:
+            gone.add(len(texts) - 1)
+    monkeypatch.setattr(near_copies, "band_keys", lambda own: np.zeros(0, "u8"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == set(range(len(texts))) - gone
+
+
+def test_fingerprint_of_a_set():
+    for text in ("", "a", "a b c d e f", "a b c " * 30, " ".join(map(str, range(900)))):
+        own = near_copies.shingles(text)
+        ones = [sum(int(h) >> b & 1 for h in own) for b in range(64)]
+        assert int(near_copies.fingerprint(own)[0]) % (1 << 64) == sum(1 << b for b in range(64) if 2 * ones[b] > len(own))
+
+
 def test_bucket_is_searched_whole():
     """Members near each other but not near the first or the last of their bucket."""
     sets = [list(range(100)), list(range(200, 300)), list(range(205, 305)), list(range(400, 500)), list(range(210, 310))]
