@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -550,6 +551,36 @@ def test_lm_words_are_encoded_once_and_alike():
     assert [i.tolist() for i in lm_scores.ids_of(docs, path)] == [ids[at[a] : at[b]].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
+def test_frequent_words_are_scored_without_being_spelt(monkeypatch):
+    """Only words that don't travel with the task, and those of more than four subwords, are
+    put together again; all count as they do one by one."""
+    path = tokenization.default_path()
+    long = "floccinaucinihilipilification"
+    texts = ["the cat and the hat", f"a {long} the zyx zyx {long}", "", "the \u00a0 caf\u00e9 q\u00e9zw"]
+    docs = [lm_scores.words_of(t) for t in texts]
+    assert len(lm_scores.ids_of([docs[1][1:2]], path)[0]) > 5
+    counts = {w: k + 2 for k, w in enumerate([b"the", b"cat", b"and", b"hat", b"a", long.encode(), "caf\u00e9".encode()])}
+    frequent = lm_scores.Frequent.of(list(counts), np.array(list(counts.values())), 3, path)
+    spell, spelt = lm_scores._bytes_of(path), []
+
+    class Spell(list):
+        def __getitem__(self, i):
+            spelt.append(spell[i])
+            return spell[i]
+
+    monkeypatch.setattr(lm_scores, "_bytes_of", lambda path: Spell(spell))
+    m = tiny_model()[0]
+    ids = [i.tobytes() for i in lm_scores.ids_of(docs, path)]
+    n = pa.array(range(len(docs)))
+    got = next(lm_scores._scored(iter([pa.RecordBatch.from_arrays([n, n, pa.array(ids)], names=["doc", "row", "ids"])]), path, m, frequent)).to_pylist()
+    assert b"".join(spelt).split() == [long.encode(), b"zyx", b"zyx", long.encode(), "\u00a0".encode(), "q\u00e9zw".encode()]
+    for own, r in zip(docs, got, strict=True):
+        rare = Counter(w for w in own if w not in counts)
+        assert r["n_tokens"] == len(own) + 1 and r["known"] == len(own) + 1 - sum(rare.values())
+        assert r["part"] == pytest.approx(sum(np.log10(counts[w] + 0.5) for w in own if w in counts) + np.log10(3.5), rel=1e-12)
+        assert Counter({x["check"]: x["tf"] for x in r["rare"]}) == Counter({zlib.crc32(w): k for w, k in rare.items()})
+
+
 # --- secrets
 
 

@@ -25,21 +25,22 @@ and the distances in proportion to the ids learnt. A task has ``SHARE`` windows
 steps grow with the corpus, and what it hands on doesn't.
 
 Scale: texts are read once, in a narrow pass that writes their ids (which later passes read,
-the last one spelling the words again). Word counts meet by word, summed within each task first. For
+the last one spelling rare and long words again). Word counts meet by word, summed within each task first. For
 the base score, the ``FREQUENT`` most frequent words travel with the scoring task (a bounded
-table that covers most tokens); only the other words of a document are joined with their
-counts, by hash, so no vocabulary has to fit anywhere.
+table that covers most tokens) and are found by their ids, unspelt; only the other words of a
+document are joined with their counts, by hash, so no vocabulary has to fit anywhere.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
-from itertools import compress, repeat
+from itertools import compress, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +158,56 @@ def _opens(path: str) -> np.ndarray:
     return np.array([b[:1] == b" " for b in _bytes_of(path)])
 
 
+def packed(ids: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ids of each word (where its first stands, and how many) in one number, if there are
+    four at most; 0 for longer ones. No two words share another number."""
+    out, ids = np.zeros(len(at), "u8"), np.r_[ids, np.zeros(3, ids.dtype)]
+    for k in range(4):
+        some = ids[at + k].astype("u8")
+        some += 1
+        some <<= 16 * k
+        some *= size > k
+        out |= some
+    out *= size <= 4
+    return out
+
+
+@dataclass
+class Frequent:
+    """Log-counts of the words that travel with the scoring tasks, and of the end."""
+
+    logs: dict[bytes, float]
+    keys: np.ndarray  # of words that can be packed, in order
+    values: np.ndarray  # their log-counts
+    slots: np.ndarray  # hash -> place of a key that has it
+    end: float
+    ends: int
+
+    SLOT_BITS = 20
+
+    @staticmethod
+    def of(words: list[bytes], counts: np.ndarray, ends: int, path: str) -> Frequent:
+        logs, own = np.log10(counts + 0.5), Words(path)
+        ids, size = own.ids(own.numbers([words]))
+        keys = packed(ids, np.cumsum(size) - size, size)[:-1]
+        keys, first = np.unique(keys, return_index=True)
+        keys, values = np.r_[np.zeros(1, "u8"), keys[keys > 0]], np.r_[np.nan, logs[first[keys > 0]]]  # 0 is no word's
+        slots = np.zeros(1 << Frequent.SLOT_BITS, "i4")
+        slots[Frequent.slot(keys)] = np.arange(len(keys))
+        return Frequent(dict(zip(words, logs.tolist(), strict=True)), keys, values, slots, float(np.log10(ends + 0.5)), ends)
+
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - Frequent.SLOT_BITS)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The log-count of each key; nan for those that aren't here."""
+        place = self.slots[self.slot(keys)]
+        missed = np.flatnonzero(self.keys[place] != keys)
+        place[missed] = np.minimum(np.searchsorted(self.keys, keys[missed]), len(self.keys) - 1)
+        return np.where(self.keys[place] == keys, self.values[place], np.nan)
+
+
 # --- classes
 
 
@@ -229,6 +280,21 @@ def classes_of(count: np.ndarray, near: np.ndarray, seed: int = 0) -> tuple[np.n
 # --- the model
 
 
+def _room(*sizes: int) -> list[np.ndarray]:
+    """Arrays to compute in, again and again, so that loops allocate none of their size."""
+    return [np.empty(size, "f4") for size in sizes]
+
+
+def _shaped(room: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """The first places of a room, in that shape."""
+    return room[: math.prod(shape)].reshape(shape)
+
+
+def _taken(table: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """The rows of a table, which are all there, into ``out``."""
+    np.take(table, rows, axis=0, out=out, mode="clip")
+
+
 @dataclass
 class Model:
     compact: np.ndarray  # id -> row
@@ -292,30 +358,35 @@ class Model:
         place = np.arange(len(ids)) + np.repeat(first - start, sizes)
         rows, cls = np.full(units.sum() * STRIDE, self.compact[END], "i4"), np.full(units.sum() * STRIDE, -1, "i4")
         rows[place], cls[place] = self.compact[before], self.cls[ids]
-        logs, bias = np.zeros(len(rows), "f4"), self.bias()
-        vectors, shares = np.hstack([self.query, self.key, self.value]), np.exp(self.after)
-        for u in range(0, len(rows) // STRIDE - 1, BLOCKS):
+        logs, bias, last = np.zeros(len(rows), "f4"), self.bias(), len(rows) // STRIDE - 1
+        vectors, shares, out = np.hstack([self.query, self.key, self.value]), np.exp(self.after), np.ascontiguousarray(self.out)
+        room = _room((BLOCKS + 1) * STRIDE * 3 * WIDTH, BLOCKS * STRIDE * CONTEXT, BLOCKS * STRIDE * WIDTH, *[BLOCKS * STRIDE * CLASSES] * 2)
+        for u in range(0, last, BLOCKS):
             part = slice(u * STRIDE, (u + BLOCKS + 1) * STRIDE)
-            x, c = rows[part], cls[part][STRIDE:]
-            logs[part][STRIDE:] = self._log_classes(vectors[x], x[STRIDE:], np.maximum(c, 0), bias, shares)
+            logs[part][STRIDE:] = self._log_classes(vectors, rows[part], np.maximum(cls[part][STRIDE:], 0), bias, shares, out, room)
         return np.add.reduceat(logs[place].astype("f8") + self.log_within(before, ids), start) / np.log(10)
 
-    def _log_classes(self, vectors: np.ndarray, rows: np.ndarray, cls: np.ndarray, bias: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    def _log_classes(self, vectors: np.ndarray, rows: np.ndarray, cls: np.ndarray, bias: np.ndarray, shares: np.ndarray, out: np.ndarray, room: list[np.ndarray]) -> np.ndarray:
         """Log-probability of each class, at all positions but those of the first unit."""
-        n, line, item = len(rows) // STRIDE, vectors.strides[0], vectors.itemsize
+        n = len(cls) // STRIDE
+        v, w, mixed, z, drawn = (_shaped(r, shape) for r, shape in zip(room, ((len(rows), 3 * WIDTH), (n, STRIDE, CONTEXT), (n, STRIDE, WIDTH), *[(n * STRIDE, CLASSES)] * 2), strict=True))
+        _taken(vectors, rows, v)
+        line, item = v.strides[0], v.itemsize
         view = np.lib.stride_tricks.as_strided
-        q = view(vectors[STRIDE:, :WIDTH], (n, STRIDE, WIDTH), (STRIDE * line, line, item))
-        k = view(vectors[:, WIDTH : 2 * WIDTH], (n, CONTEXT, WIDTH), (STRIDE * line, line, item))
-        v = view(vectors[:, 2 * WIDTH :], (n, CONTEXT, WIDTH), (STRIDE * line, line, item))
-        w = q @ k.transpose(0, 2, 1)
+        q = view(v[STRIDE:, :WIDTH], (n, STRIDE, WIDTH), (STRIDE * line, line, item))
+        k = view(v[:, WIDTH : 2 * WIDTH], (n, CONTEXT, WIDTH), (STRIDE * line, line, item))
+        value = view(v[:, 2 * WIDTH :], (n, CONTEXT, WIDTH), (STRIDE * line, line, item))
+        np.matmul(q, k.transpose(0, 2, 1), out=w)
         w += bias
         np.exp(w, out=w)
-        mixed = w @ v
-        mixed /= w.sum(axis=2, keepdims=True)
-        z = mixed.reshape(-1, WIDTH) @ self.out
-        own = z.ravel()[np.arange(len(cls)) * CLASSES + cls] + self.after[rows, cls]
+        np.matmul(w, value, out=mixed)
+        flat = mixed.reshape(-1, WIDTH)
+        flat /= (w.reshape(-1, CONTEXT) @ np.ones(CONTEXT, "f4"))[:, None]
+        np.matmul(flat, out, out=z)
+        own = z.ravel()[np.arange(len(cls)) * CLASSES + cls] + self.after.ravel()[rows[STRIDE:] * CLASSES + cls]
         np.exp(z, out=z)
-        return own - np.log(np.einsum("ij,ij->i", z, shares[rows]))
+        _taken(shares, rows[STRIDE:], drawn)
+        return own - np.log(np.einsum("ij,ij->i", z, drawn))
 
 
 @dataclass
@@ -434,6 +505,8 @@ class Attention:
         self.first, self.second = ([np.zeros_like(p) for p in self.params] for _ in range(2))
         self.shares, self.step = np.exp(model.after), 0
         self.met, self.learnt = np.zeros(TOKENS + 1, "i8"), 0  # how often each row, and how many ids
+        self.sums, self.spare = ([np.zeros_like(p) for p in self.params] for _ in range(2))
+        self.room: list[np.ndarray] = []  # made when there is something to learn
 
     def learn(self, d: np.ndarray) -> None:
         """Learn documents that lie end to end, about ``DRAWN`` ids at once."""
@@ -455,51 +528,68 @@ class Attention:
         rows[place], cls[place] = self.model.compact[before], self.model.cls[ids]
         x, y = np.lib.stride_tricks.sliding_window_view(rows, (RUN + 1) * STRIDE)[:: RUN * STRIDE], cls[STRIDE:].reshape(runs, RUN * STRIDE)
         for some in np.array_split(self.rng.permutation(runs), -(-runs * RUN // STEP)):
-            real, sums = max(1, np.count_nonzero(y[some] >= 0)), [np.zeros_like(p) for p in self.params]
+            real = max(1, np.count_nonzero(y[some] >= 0))
+            for total in self.sums:
+                total.fill(0)
             for at in range(0, len(some), TOGETHER):
-                self.add_gradients(x[some[at : at + TOGETHER]], y[some[at : at + TOGETHER]], sums)
-            self._adam([s / np.float32(real) for s in sums])
+                self.add_gradients(x[some[at : at + TOGETHER]], y[some[at : at + TOGETHER]], self.sums)
+            for total in self.sums:
+                total /= np.float32(real)
+            self._adam(self.sums)
         self.met += np.bincount(rows, minlength=TOKENS + 1)
         self.learnt += len(ids)
 
     def add_gradients(self, x: np.ndarray, y: np.ndarray, sums: list[np.ndarray]) -> None:
         """Those of the summed loss of classes, by the vectors of each row, the output and the
         distances. ``x``: rows in runs, after a unit of context; ``y``: classes, -1 for none."""
-        (vectors, out, _), n = self.params, len(x)
-        v = vectors[x]
+        (vectors, out, _), n, ids = self.params, len(x), (RUN + 1) * STRIDE
+        shapes = [*[(n, ids, 3 * WIDTH)] * 3, *[(n, RUN, STRIDE, CONTEXT)] * 2, *[(n, RUN, STRIDE, WIDTH)] * 3, (n, RUN, CONTEXT, WIDTH), *[(n * RUN * STRIDE, CLASSES)] * 2]
+        if not self.room or len(self.room[0]) < math.prod(shapes[0]):
+            self.room = _room(*map(math.prod, shapes))
+        v, g, lying, w, d_s, mixed, d_mixed, d_q, both, p, drawn = map(_shaped, self.room, shapes)
+        _taken(vectors, x, v)
         lines = (v.strides[0], STRIDE * v.strides[1], *v.strides[1:])
         view = np.lib.stride_tricks.as_strided
         q = view(v[:, STRIDE:, :WIDTH], (n, RUN, STRIDE, WIDTH), lines)
         k, value = (view(v[:, :, at : at + WIDTH], (n, RUN, CONTEXT, WIDTH), lines) for at in (WIDTH, 2 * WIDTH))
-        w = q @ k.swapaxes(2, 3)
+        np.matmul(q, k.swapaxes(2, 3), out=w)
         w += self.bias()
         np.exp(w, out=w)
-        w /= w.sum(axis=3, keepdims=True)
-        mixed = w @ value
-        flat = mixed.reshape(-1, WIDTH)
-        p = flat @ out
+        np.matmul(w, value, out=mixed)
+        flat, d_flat, by = mixed.reshape(-1, WIDTH), d_mixed.reshape(-1, WIDTH), (w.reshape(-1, CONTEXT) @ np.ones(CONTEXT, "f4"))[:, None]
+        flat /= by  # as weights are not, where they have CONTEXT columns
+        np.matmul(flat, out, out=p)
         np.exp(p, out=p)
-        p *= self.shares[x[:, STRIDE:].ravel()]
-        real = y.ravel() >= 0
-        p *= (real / np.einsum("ij->i", p))[:, None]
-        p.ravel()[np.flatnonzero(real) * CLASSES + y.ravel()[real]] -= 1
-        d_flat = p @ out.T
-        d_mixed = d_flat.reshape(mixed.shape)
-        d_s = d_mixed @ value.swapaxes(2, 3)
+        _taken(self.shares, x[:, STRIDE:].ravel(), drawn)
+        p *= drawn
+        whole, own = p @ np.ones(CLASSES, "f4"), np.flatnonzero(y.ravel() >= 0)
+        p.ravel()[own * CLASSES + y.ravel()[own]] -= whole[own]
+        part = np.zeros((len(p), 1), "f4")  # p times this is the gradient by logits
+        part[own, 0] = 1 / whole[own]
+        np.matmul(p, out.T, out=d_flat)
+        d_flat *= part
+        np.multiply(flat, part, out=d_q.reshape(-1, WIDTH))
+        sums[1] += d_q.reshape(-1, WIDTH).T @ p
+        d_flat /= by
+        np.matmul(d_mixed, value.swapaxes(2, 3), out=d_s)
         d_s -= np.einsum("ij,ij->i", d_flat, flat).reshape(n, RUN, STRIDE, 1)
         d_s *= w
-        g = np.zeros_like(v)
-        g[:, STRIDE:, :WIDTH] = (d_s @ k).reshape(n, -1, WIDTH)
-        for at, d in ((WIDTH, d_s.swapaxes(2, 3) @ q), (2 * WIDTH, w.swapaxes(2, 3) @ d_mixed)):  # a unit is in two windows
-            g[:, :-STRIDE, at : at + WIDTH] += d[:, :, :STRIDE].reshape(n, -1, WIDTH)
-            g[:, STRIDE:, at : at + WIDTH] += d[:, :, STRIDE:].reshape(n, -1, WIDTH)
+        np.matmul(d_s, k, out=d_q)
+        g[:, :STRIDE] = 0
+        g[:, STRIDE:, :WIDTH] = d_q.reshape(n, -1, WIDTH)
+        for at, left, right in ((WIDTH, d_s, q), (2 * WIDTH, w, d_mixed)):  # a unit is in two windows
+            np.matmul(left.swapaxes(2, 3), right, out=both)
+            g[:, STRIDE:, at : at + WIDTH] = both[:, :, STRIDE:].reshape(n, -1, WIDTH)
+            g[:, :-STRIDE, at : at + WIDTH] += both[:, :, :STRIDE].reshape(n, -1, WIDTH)
         order = np.argsort(x, axis=None, kind="stable")
         rows = x.ravel()[order]
         first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        sums[0][rows[first]] += np.add.reduceat(g.reshape(-1, 3 * WIDTH)[order], first, axis=0)
-        sums[1] += flat.T @ p
+        lying = lying.reshape(-1, 3 * WIDTH)
+        _taken(g.reshape(-1, 3 * WIDTH), order, lying)
+        sums[0][rows[first]] += np.add.reduceat(lying, first, axis=0)
         back = np.arange(STRIDE)[:, None] + CONTEXT - STRIDE - np.arange(CONTEXT)[None, :]
-        sums[2] += np.bincount(back[back >= 0], weights=d_s.sum(axis=(0, 1))[back >= 0], minlength=CONTEXT).astype("f4")
+        by_place = (np.ones(n * RUN, "f4") @ d_s.reshape(n * RUN, -1)).reshape(STRIDE, CONTEXT)
+        sums[2] += np.bincount(back[back >= 0], weights=by_place[back >= 0], minlength=CONTEXT).astype("f4")
 
     def weighed(self) -> list[np.ndarray]:
         """By how much the weights have changed, in whole ``1 / UNIT``, times how often their
@@ -523,10 +613,14 @@ class Attention:
     def _adam(self, grads: list[np.ndarray]) -> None:
         self.step += 1
         rate = RATE_ALL * max(0.1, 1 - self.step / (self.steps + 1)) * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
-        for p, first, second, g in zip(self.params, self.first, self.second, grads, strict=True):
-            first += np.float32(0.1) * (g - first)
+        for p, first, second, spare, g in zip(self.params, self.first, self.second, self.spare, grads, strict=True):
+            np.subtract(g, first, out=spare)
+            spare *= np.float32(0.1)
+            first += spare
             g *= g
-            second += np.float32(0.001) * (g - second)
+            np.subtract(g, second, out=spare)
+            spare *= np.float32(0.001)
+            second += spare
             np.sqrt(second, out=g)
             g += np.float32(1e-8)
             np.divide(first, g, out=g)
@@ -619,40 +713,46 @@ GATHERED = ["doc", "row", "learn", "ids", "word", "cell", "n"]
 SCORED = ["doc", "row", "n_tokens", "part", "known", "score", "rare"]
 
 
-def _scored(batches: Iterator[pa.RecordBatch], path: str, model: Model, frequent: dict[bytes, int], ends: int) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], path: str, model: Model, frequent: Frequent) -> Iterator[pa.RecordBatch]:
     """For each document: tokens, the part of the base score and of the known tokens that
     the frequent words and the end give, the model's score, and the other words by hash."""
     import xxhash
 
-    logs, end, spell = {w: np.log10(c + 0.5) for w, c in frequent.items()}, float(np.log10(ends + 0.5)), _bytes_of(path)
+    spell, edges = _bytes_of(path), _opens(path) | (np.arange(IDS) == END)
     for batch in batches:
         docs = [np.frombuffer(x.as_py(), "<u2") for x in batch.column("ids")]
         if not docs:
             continue
-        words, tfs, distinct, n = [], [], [], []
-        for d in docs:
-            own = b"".join(map(spell.__getitem__, d.tolist())).split()
-            count = Counter(own)
+        flat = np.concatenate(docs)
+        at = np.flatnonzero(edges[flat])
+        size, ends = np.diff(at, append=len(flat)), flat[at] == END
+        n = np.diff(np.flatnonzero(ends), prepend=-1)  # words, and the end
+        at, size, doc = at[~ends], size[~ends], np.repeat(np.arange(len(docs)), n - 1)
+        log = frequent.find(packed(flat, at, size))
+        rest = np.isnan(log)
+        at, size = at[rest], size[rest]
+        after = np.cumsum(size)
+        own = flat[np.arange(size.sum()) + np.repeat(at - after + size, size)]
+        spelt = b"".join(map(spell.__getitem__, own.tolist())).split()
+        log[rest] = np.fromiter(map(frequent.logs.get, spelt, repeat(np.nan)), "f8", len(spelt))
+        other = np.isnan(log)
+        part = frequent.end + np.bincount(doc[~other], weights=log[~other], minlength=len(docs))
+        known = int(frequent.ends > 0) + np.bincount(doc[~other], minlength=len(docs))
+        spelt, words, tfs, sizes = compress(spelt, other[rest]), [], [], []
+        for many in np.bincount(doc[other], minlength=len(docs)).tolist():
+            count = Counter(islice(spelt, many))
             words += count
             tfs += count.values()
-            distinct.append(len(count))
-            n.append(len(own) + 1)
-        tf, doc = np.array(tfs, "i8"), np.repeat(np.arange(len(docs)), distinct)
-        log = np.fromiter(map(logs.get, words, repeat(np.nan)), "f8", len(words))
-        other = np.isnan(log)
-        part = end + np.bincount(doc[~other], weights=(tf * log)[~other], minlength=len(docs))
-        known = int(ends > 0) + np.bincount(doc[~other], weights=tf[~other], minlength=len(docs)).astype("i8")
-        rest = list(compress(words, other))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, rest, repeat(42)), "u8", len(rest)).view("i8")
-        checks = np.fromiter(map(zlib.crc32, rest), "i8", len(rest))
-        sizes = np.bincount(doc[other], minlength=len(docs))
+            sizes.append(len(count))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), "u8", len(words)).view("i8")
+        checks = np.fromiter(map(zlib.crc32, words), "i8", len(words))
         scores, start, held = [], 0, 0
         for k, d in enumerate(docs):  # windows of a bounded number of ids at once
             held += len(d)
             if held > 200_000 or k == len(docs) - 1:
                 scores.append(model.scores(docs[start : k + 1]))
                 start, held = k + 1, 0
-        items = pa.StructArray.from_arrays([pa.array(hashes), pa.array(checks), pa.array(tf[other])], names=["h", "check", "tf"])
+        items = pa.StructArray.from_arrays([pa.array(hashes), pa.array(checks), pa.array(tfs, pa.int64())], names=["h", "check", "tf"])
         rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), items)
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), pa.array(n, pa.int64()), pa.array(part), pa.array(known), pa.array(np.concatenate(scores)), rare], names=SCORED)
 
@@ -714,8 +814,7 @@ def score(docs: DataFrame, training: Column, tokenizer_path: str | None = None,
     totals, ends = words.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first(), int(known.ids[END])
     train_tokens, distinct = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
     top = _frequent(words).toArrow()
-    frequent = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
-    shared = spark.sparkContext.broadcast((model, frequent, ends))
+    shared = spark.sparkContext.broadcast((model, Frequent.of(top.column("word").to_pylist(), top.column("n").to_numpy(), ends, path)))
     out = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), *T._parse_datatype_string("row long, n_tokens long, part double, known long, score double, rare array<struct<h:long,check:long,tf:long>>").fields])
     made, _ = common.materialize(gathered.where("ids IS NOT NULL").select("doc", "row", "ids").mapInArrow(lambda b: _scored(b, path, *shared.value), out), "scored")
     common.drop(spark, gathered_path)
