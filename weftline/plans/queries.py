@@ -182,7 +182,7 @@ def join_self(spark: SparkSession, d: str) -> DataFrame:
     plan = Plan()
     n = parquet_tables(spark, d)("nation")
     one = plan.scan(plan.add_input(n), positions(n, "n_regionkey", "n_name"))
-    plan.join(one, one, (0, 0), [1, 3])
+    plan.join(one, one, (0, 0), [1, 3], many=True)
     return compile_plan(plan, ["a_name", "b_name"])
 
 
@@ -270,7 +270,7 @@ def cached_subplan(spark: SparkSession, d: str) -> DataFrame:
 
     a, b = sub(), sub()
     plan = Plan()
-    plan.join(plan.scan(plan.add_input(a)), plan.scan(plan.add_input(b), positions(b, "n_nationkey", "c_custkey")), (1, 0), [0, 2, 4])
+    plan.join(plan.scan(plan.add_input(a)), plan.scan(plan.add_input(b), positions(b, "n_nationkey", "c_custkey")), (1, 0), [0, 2, 4], many=True)
     return compile_plan(plan, ["n_name", "c_custkey", "other"])
 
 
