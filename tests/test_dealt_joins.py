@@ -39,7 +39,7 @@ def most_in_a_task(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
-@pytest.mark.parametrize("name", ["join_dup_keys", "join_transitive", "cached_subplan", "join_self"])
+@pytest.mark.parametrize("name", ["join_dup_keys", "join_null_keys", "join_transitive", "cached_subplan", "join_self"])
 def test_queries_deal_their_product(spark, small, monkeypatch, name):
     monkeypatch.setattr(joins, "TASK_ROWS", 8)
     con = duckdb.connect()
